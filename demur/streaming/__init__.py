@@ -1,0 +1,6 @@
+"""No streaming operator is needed: the covered workload is batch only.
+
+Every column function in ``demur.functions`` and ``reject_threshold`` is row-local, so the same
+expressions run unchanged on a streaming DataFrame. Rate rejection does not, as its cut depends on
+all rows.
+"""
