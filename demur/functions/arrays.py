@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, so that the value is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def sum_of(col: str) -> str:
     return f"aggregate({col}, 0D, (s, x) -> s + x)"
 
@@ -16,11 +21,15 @@ def mean_of(col: str) -> str:
 
 def median_of(col: str) -> str:
     """Middle value, or the mean of the two middle values."""
-    ordered = f"sort_array({col})"
-    return (
-        f"(({ordered}[cast((size({col}) - 1) div 2 as int)]"
-        f" + {ordered}[cast(size({col}) div 2 as int)]) / 2)"
-    )
+    middle = "(o[cast((size(o) - 1) div 2 as int)] + o[cast(size(o) div 2 as int)]) / 2"
+    return let("o", f"sort_array({col})", middle)
+
+
+def softmax(col: str) -> str:
+    """Probabilities from log scores, shifted by their maximum before exp."""
+    powers = let("top", f"array_max({col})", f"transform({col}, x -> exp(x - top))")
+    scaled = let("total", sum_of("e"), "transform(e, x -> x / total)")
+    return let("e", powers, scaled)
 
 
 def argmax_index(col: str | Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from demur.functions.arrays import argmax_index, median_of
+from demur.functions.arrays import argmax_index, let, median_of, sum_of
 
 # Names of the fusion rules.
 RULES = (
@@ -48,10 +48,8 @@ def fuse_min(probas: str = "probas") -> Column:
 
 
 def fuse_median(probas: str = "probas") -> Column:
-    by_class = f"transform({probas}, p -> p[c])"
-    return F.expr(
-        f"transform(sequence(0, size({probas}[0]) - 1), c -> round({median_of(by_class)}, 9))"
-    )
+    middle = median_of(f"transform({probas}, p -> p[c])")
+    return F.expr(f"transform(sequence(0, size({probas}[0]) - 1), c -> round({middle}, 9))")
 
 
 def fuse_borda(probas: str = "probas") -> Column:
@@ -84,32 +82,31 @@ def fuse_majority(preds: str, n_classes: int) -> Column:
 
 def fuse_hard_share(preds: str, n_classes: int, selected: str) -> Column:
     """Share of the selected models' votes by class."""
-    votes = class_votes(preds, n_classes, selected)
-    total = F.expr(f"cast(size(filter({selected}, s -> s)) as double)")
-    return F.transform(votes, lambda v: v / total)
+    votes = f"filter({preds}, (v, i) -> {selected}[i])"
+    shares = f"transform(sequence(0, {n_classes - 1}), c -> size(filter(votes, v -> v = c)) / size(votes))"
+    return F.expr(let("votes", votes, shares))
 
 
 def fuse_masked_mean(probas: str, selected: str) -> Column:
     """Mean probability by class over the selected models."""
-    kept = f"filter({probas}, (p, i) -> {selected}[i])"
-    count = f"size(filter({selected}, s -> s))"
-    return F.expr(f"transform({_merge(kept, '0D', 'a + b')}, v -> round(v / {count}, 9))")
+    mean = f"transform({_merge('kept', '0D', 'a + b')}, v -> round(v / size(kept), 9))"
+    return F.expr(let("kept", f"filter({probas}, (p, i) -> {selected}[i])", mean))
 
 
 def fuse_weighted(probas: str, weights: str, selected: str | None = None) -> Column:
     """Weighted mean by class: all models ("weighting") or the selected ones ("hybrid")."""
     w = weights if selected is None else f"transform({weights}, (w, i) -> if({selected}[i], w, 0D))"
-    total = f"aggregate({w}, 0D, (s, x) -> s + x)"
-    scaled = f"zip_with({probas}, {w}, (p, w) -> transform(p, x -> x * w))"
-    return F.expr(f"transform({_merge(scaled, '0D', 'a + b')}, v -> round(v / {total}, 9))")
+    scaled = f"zip_with({probas}, ws, (p, w) -> transform(p, x -> x * w))"
+    mean = let("total", sum_of("ws"), f"transform({_merge('scaled', '0D', 'a + b')}, v -> round(v / total, 9))")
+    return F.expr(let("ws", w, let("scaled", scaled, mean)))
 
 
 def fuse_weighted_votes(preds: str, weights: str, n_classes: int, selected: str | None = None) -> Column:
     """Weighted votes by class, as shares of the total weight."""
     w = weights if selected is None else f"transform({weights}, (w, i) -> if({selected}[i], w, 0D))"
-    total = f"aggregate({w}, 0D, (s, x) -> s + x)"
-    mine = f"aggregate(zip_with({preds}, {w}, (v, w) -> if(v = c, w, 0D)), 0D, (s, x) -> s + x)"
-    return F.expr(f"transform(sequence(0, {n_classes - 1}), c -> round({mine} / {total}, 9))")
+    mine = sum_of(f"zip_with({preds}, ws, (v, w) -> if(v = c, w, 0D))")
+    shares = f"transform(sequence(0, {n_classes - 1}), c -> round({mine} / total, 9))"
+    return F.expr(let("ws", w, let("total", sum_of("ws"), shares)))
 
 
 def fuse(rule: str, n_classes: int, probas: str = "probas", preds: str = "preds") -> Column:

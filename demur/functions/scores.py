@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from demur.functions.arrays import mean_of, median_of
+from demur.functions.arrays import let, mean_of, median_of
 
 # Names of the row scores.
 METHODS = ("avg", "median", "min", "max")
@@ -36,14 +36,14 @@ def row_score(values: str, method: str, strict: bool = True) -> Column:
 
 def select_models(uncertainty: str = "uncertainty") -> Column:
     """Models that are at most as uncertain as the row's mean."""
-    return F.expr(
-        f"transform({uncertainty}, u -> u <= {mean_of(uncertainty)} + {TOLERANCE}D)"
-    )
+    keep = f"transform({uncertainty}, u -> u <= mean + {TOLERANCE}D)"
+    return F.expr(let("mean", mean_of(uncertainty), keep))
 
 
 def select_competent(competences: str = "competences") -> Column:
     """Models that are at least as competent as the row's mean."""
-    return F.expr(f"transform({competences}, c -> c >= {mean_of(competences)} - {TOLERANCE}D)")
+    keep = f"transform({competences}, c -> c >= mean - {TOLERANCE}D)"
+    return F.expr(let("mean", mean_of(competences), keep))
 
 
 def normalise_rate(rate: float) -> float:

@@ -6,9 +6,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demur.functions.arrays import softmax
 from demur.operators.metrics import MAX_LABELS
 from demur.session import num_lit, quoted
 
@@ -16,15 +17,15 @@ from demur.session import num_lit, quoted
 VAR_SMOOTHING = 1e-9
 
 
-def _softmax(log_scores: str) -> str:
-    """Probabilities from an SQL array of log scores; shifted by the maximum before exp."""
-    # the outer array of one binds the scores to a name, so they are computed once
-    return f"transform(array(array({log_scores})), s -> transform(s, x -> exp(x - array_max(s))))[0]"
+def add_softmax(df: DataFrame, log_scores: dict[str, list[str]]) -> DataFrame:
+    """Adds one array of probabilities by name from its log scores by class (SQL).
 
-
-def _normalise(scores: Column) -> Column:
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(scores, lambda x: x / total)
+    Two steps: the long sums are compiled code over plain columns, the soft-max works on short arrays.
+    """
+    raw = {f"_ll_{name}": F.expr(f"array({', '.join(terms)})") for name, terms in log_scores.items()}
+    out = df.withColumns(raw)
+    out = out.withColumns({name: F.expr(softmax(quoted(f"_ll_{name}"))) for name in log_scores})
+    return out.drop(*raw)
 
 
 @dataclass
@@ -53,8 +54,8 @@ class GaussianNB:
             out.append("(" + " + ".join(terms) + ")")
         return out
 
-    def probability(self) -> Column:
-        return _normalise(F.expr(_softmax(", ".join(self.log_scores()))))
+    def add_probability(self, df: DataFrame, name: str) -> DataFrame:
+        return add_softmax(df, {name: self.log_scores()})
 
 
 def fit_gaussian_nb_pool(members: list[GaussianNB], df: DataFrame, y: str = "y") -> list[GaussianNB]:
@@ -127,7 +128,8 @@ class QDA:
             self.logdet.append(float(logdet))
         return self
 
-    def probability(self) -> Column:
+    def log_scores(self) -> list[str]:
+        """Log prior plus log density by class up to a shared constant, as SQL."""
         d = len(self.features)
         scores = []
         for prior, mean, prec, logdet in zip(self.prior, self.mean, self.precision, self.logdet):
@@ -138,4 +140,7 @@ class QDA:
                     weight = prec[i][j] * (0.5 if i == j else 1.0)
                     terms.append(f"-({num_lit(weight)} * {z[i]} * {z[j]})")
             scores.append("(" + " + ".join(terms) + ")")
-        return _normalise(F.expr(_softmax(", ".join(scores))))
+        return scores
+
+    def add_probability(self, df: DataFrame, name: str) -> DataFrame:
+        return add_softmax(df, {name: self.log_scores()})

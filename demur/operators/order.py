@@ -20,7 +20,9 @@ from pyspark.storagelevel import StorageLevel
 from demur.session import cut_lineage, small_table
 
 # Histogram cells per pass over all open intervals; bounds what the driver receives.
-CELLS_PER_PASS = 65_536
+CELLS_PER_PASS = 16_384
+# Once the open intervals hold no more rows than this, their values are counted one by one.
+DIRECT_ROWS = 20_000
 
 
 class Statistic(NamedTuple):
@@ -74,7 +76,7 @@ def order_statistics(
                 raise ValueError(f"group {g!r} has no {k}-th value")
             todo.setdefault((g, lo, hi, 0, n), []).append(k)
 
-    while todo:
+    while True:
         open_spans = {}
         for span, ks in todo.items():
             g, lo, hi, below, n = span
@@ -86,7 +88,8 @@ def order_statistics(
         if not open_spans:
             break
         order = list(open_spans)
-        cells = max(16, min(4096, CELLS_PER_PASS // len(order)))
+        cells = max(16, CELLS_PER_PASS // len(order))
+        direct = sum(s[4] for s in order) <= DIRECT_ROWS
         spans_df = small_table(
             spark,
             {
@@ -103,24 +106,25 @@ def order_statistics(
         )
         # the intervals of a group are disjoint, so a row meets at most one of them
         hits = rows.join(F.broadcast(spans_df), "g").where("v between lo and hi")
-        cell = F.expr(f"if(v = hi, {cells - 1}, cast(least({cells - 1}, floor((v - lo) / width)) as int))")
+        cell = f"if(v = hi, {cells - 1}, cast(least({cells - 1}, floor((v - lo) / width)) as int))"
         counts = (
-            hits.select("i", "v", cell.alias("cell"))
+            hits.select("i", "v", F.expr("v" if direct else cell).alias("cell"))
             .groupBy("i", "cell")
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect()
+            .toArrow()
+            .sort_by([("i", "ascending"), ("cell", "ascending")])
         )
         by_span: dict[int, list] = {}
-        for r in counts:
-            by_span.setdefault(r["i"], []).append(r)
+        for i, *r in zip(*(counts.column(c).to_pylist() for c in ("i", "lo", "hi", "n"))):
+            by_span.setdefault(i, []).append(r)
         todo = {}
         for i, span in enumerate(order):
             g, _, _, below, _ = span
             waiting = sorted(open_spans[span])
-            for r in sorted(by_span[i], key=lambda r: r["cell"]):
-                while waiting and waiting[0] <= below + r["n"]:
-                    todo.setdefault((g, r["lo"], r["hi"], below, r["n"]), []).append(waiting.pop(0))
-                below += r["n"]
+            for lo, hi, n in by_span[i]:
+                while waiting and waiting[0] <= below + n:
+                    todo.setdefault((g, lo, hi, below, n), []).append(waiting.pop(0))
+                below += n
     return found
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demur.functions.fusion import model_labels
-from demur.operators.bayes import GaussianNB, fit_gaussian_nb_pool
+from demur.operators.bayes import GaussianNB, add_softmax, fit_gaussian_nb_pool
 from demur.session import quoted
 
 
@@ -20,10 +20,12 @@ class Member(Protocol):
 
     def fit(self, df: DataFrame, y: str = "y"): ...
 
+    def add_probability(self, df: DataFrame, name: str) -> DataFrame: ...
+
 
 @dataclass
 class Pool:
-    """Ordered members by name. A member gives ``probability()`` or ``add_probability(df, column)``."""
+    """Ordered members by name."""
 
     members: dict
 
@@ -58,17 +60,16 @@ class Pool:
 
     def predict_proba(self, df: DataFrame, column: str = "probas") -> DataFrame:
         """Adds ``probas``: models outside, classes inside."""
-        parts: list[Column] = []
-        extra = []
-        for i, m in enumerate(self.members.values()):
-            if hasattr(m, "add_probability"):
-                name = f"_p{i}"
-                df = m.add_probability(df, name)
-                extra.append(name)
-                parts.append(F.col(name))
+        names = [f"_p{i}" for i in range(len(self))]
+        by_log = {}
+        for name, m in zip(names, self.members.values()):
+            if hasattr(m, "log_scores"):
+                by_log[name] = m.log_scores()
             else:
-                parts.append(m.probability())
-        return df.withColumn(column, F.array(*parts)).drop(*extra)
+                df = m.add_probability(df, name)
+        if by_log:
+            df = add_softmax(df, by_log)
+        return df.withColumn(column, F.array(*names)).drop(*names)
 
     def predict(self, scored: DataFrame, probas: str = "probas") -> DataFrame:
         """Adds ``preds array<int>`` with the class index by model."""

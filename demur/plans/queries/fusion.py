@@ -141,7 +141,7 @@ def fuse_hard_share(spark, sf_dir):
     ORDERS_P
     + SELECTION
     + """
-SELECT p.row_id, p.c AS class, round(avg(p.p), 6) AS p FROM p JOIN sel ON p.row_id = sel.row_id AND p.m = sel.m
+SELECT p.row_id, p.c AS class, round(round(avg(p.p), 9), 6) AS p FROM p JOIN sel ON p.row_id = sel.row_id AND p.m = sel.m
 GROUP BY p.row_id, p.c"""
 )
 def fuse_masked_mean(spark, sf_dir):
@@ -159,10 +159,10 @@ def fuse_masked_mean(spark, sf_dir):
     + """
 , w AS (SELECT u.row_id, u.m, 1 - u.u AS w, sel.m IS NOT NULL AS s FROM u LEFT JOIN sel ON u.row_id = sel.row_id AND u.m = sel.m)
 SELECT p.row_id, p.c AS class,
-  round(sum(p.p * w.w) / sum(w.w), 6) AS weighting,
-  round(sum(p.p * w.w) FILTER (w.s) / sum(w.w) FILTER (w.s), 6) AS hybrid,
-  round(coalesce(sum(w.w) FILTER (b.pred = p.c), 0) / sum(w.w), 6) AS weighting_votes,
-  round(coalesce(sum(w.w) FILTER (b.pred = p.c AND w.s), 0) / sum(w.w) FILTER (w.s), 6) AS hybrid_votes
+  round(round(sum(p.p * w.w) / sum(w.w), 9), 6) AS weighting,
+  round(round(sum(p.p * w.w) FILTER (w.s) / sum(w.w) FILTER (w.s), 9), 6) AS hybrid,
+  round(round(coalesce(sum(w.w) FILTER (b.pred = p.c), 0) / sum(w.w), 9), 6) AS weighting_votes,
+  round(round(coalesce(sum(w.w) FILTER (b.pred = p.c AND w.s), 0) / sum(w.w) FILTER (w.s), 9), 6) AS hybrid_votes
 FROM p JOIN w ON p.row_id = w.row_id AND p.m = w.m JOIN b ON b.row_id = p.row_id AND b.m = p.m
 GROUP BY p.row_id, p.c"""
 )

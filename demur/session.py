@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Upper bound for anything the driver builds itself and broadcasts (rows).
 SMALL_ROWS = 100_000
+# A settled table up to this many rows is spread over all cores.
+SPREAD_ROWS = 5_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes a table that several passes read to the shared folder and reads it back.
+
+    Unlike a cache it stays columnar and prunable, and no pass recomputes it when an executor is lost.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    # a small table in few files would be scanned by few tasks, however many passes follow
+    if len(back.inputFiles()) < cores and 1 < back.count() <= SPREAD_ROWS:
+        path = scratch_path(spark, name)
+        back.repartition(cores).write.parquet(path)
+        back = spark.read.schema(df.schema).parquet(path)
+    return back
+
+
 def small_table(spark: SparkSession, columns: dict, schema: pa.Schema) -> DataFrame:
     """A driver-made table of checked size, planned as a local relation."""
     n = len(next(iter(columns.values()))) if columns else 0
