@@ -15,6 +15,17 @@ from demur.session import num_lit, quoted
 
 # Fixed value: share of the largest feature variance added to every variance.
 VAR_SMOOTHING = 1e-9
+# Terms of a member's log scores that are written out as compiled code.
+UNROLLED_TERMS = 40
+
+
+def _long_sum(features: list[str], const: float, mean: list[float], var: list[float]) -> str:
+    """Log density over arrays: short code for any number of features."""
+    xs = f"array({', '.join(quoted(f) for f in features)})"
+    ms = f"array({', '.join(num_lit(m) for m in mean)})"
+    ws = f"array({', '.join(num_lit(0.5 / v) for v in var)})"
+    gaps = f"zip_with({xs}, {ms}, (x, m) -> x - m)"
+    return f"aggregate(zip_with({gaps}, {ws}, (d, w) -> d * d * w), {num_lit(const)}, (s, t) -> s - t)"
 
 
 def add_softmax(df: DataFrame, log_scores: dict[str, list[str]]) -> DataFrame:
@@ -47,6 +58,9 @@ class GaussianNB:
         out = []
         for prior, mean, var in zip(self.prior, self.mean, self.var):
             const = math.log(prior) - 0.5 * sum(math.log(2 * math.pi * v) for v in var)
+            if len(self.features) * len(self.labels) > UNROLLED_TERMS:
+                out.append(_long_sum(self.features, const, mean, var))
+                continue
             terms = [num_lit(const)]
             for name, m, v in zip(self.features, mean, var):
                 d = f"({quoted(name)} - {num_lit(m)})"

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Upper bound for anything the driver builds itself and broadcasts (rows).
 SMALL_ROWS = 100_000
-# A settled table up to this many rows is spread over all cores.
-SPREAD_ROWS = 5_000_000
+# A settled table of this many rows is spread over all cores.
+SPREAD_FROM, SPREAD_ROWS = 10_000, 5_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +54,7 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     # a small table in few files would be scanned by few tasks, however many passes follow
-    if len(back.inputFiles()) < cores and 1 < back.count() <= SPREAD_ROWS:
+    if len(back.inputFiles()) < cores and SPREAD_FROM <= back.count() <= SPREAD_ROWS:
         path = scratch_path(spark, name)
         back.repartition(cores).write.parquet(path)
         back = spark.read.schema(df.schema).parquet(path)
