@@ -125,7 +125,6 @@ def metrics_sql(source: str, keys: list[str], binary: bool = False) -> str:
     """Metrics of ``source(keys, y, pred)`` by plain per-class counts."""
     by = ", ".join(keys)
     comma = f"{by}, " if by else ""
-    where = " WHERE c = 1" if binary else ""
     using = f" USING ({by})" if by else " ON true"
     group = f" GROUP BY {by}" if by else ""
     agg = (
@@ -133,7 +132,6 @@ def metrics_sql(source: str, keys: list[str], binary: bool = False) -> str:
         if binary
         else "avg(pr) AS pr, avg(rc) AS rc, avg(f1) AS f1"
     )
-    del where
     return f"""
 SELECT {comma}round(acc, 6) AS accuracy, round(pr, 6) AS "precision", round(rc, 6) AS recall, round(f1, 6) AS f1
 FROM (SELECT {comma}avg((y = pred)::INTEGER) AS acc FROM {source}{group}) a

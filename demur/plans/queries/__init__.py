@@ -1,3 +1,3 @@
 """Registered queries, one module by operator family."""
 
-from demur.plans.queries import fusion, prepare, rejection, selection  # noqa: F401
+from demur.plans.queries import fusion, prepare, rejection, selection, training  # noqa: F401
