@@ -183,3 +183,41 @@ def des_search(
         ranked.append((d, float(score)))
     return max(ranked, key=lambda t: t[1])[0], ranked
 
+
+
+def train_and_register(
+    registry: Registry,
+    experiment: str,
+    data,
+    members: dict[str, Callable[[], tuple[MLMember, dict]]],
+    selector: Callable[[Pool, DataFrame], CompetenceSelector] | None = None,
+) -> tuple[Pool, CompetenceSelector | None]:
+    """Pool of a prepared dataset from the registry or from new fits, then the selector on T_lambda.
+
+    ``members`` gives an unfitted member and its parameters by name (found by ``search_params`` or
+    fixed); ``selector(pool, scored references)`` gives a fitted selector, whose run is measured on G.
+    """
+    train, test = settle(data.train(), "train-part"), data.part("G")
+    fitted = {}
+    for name, make in members.items():
+        fitted[name], _ = load_or_fit(registry, experiment, name, make, train, test)
+    pool = Pool(fitted)
+    if selector is None:
+        return pool, None
+    vec = F.array(*[F.col(f"`{c}`").cast("double") for c in data.features]).alias("vec")
+
+    def scored(rows):
+        # the selector works on class indices
+        index = (F.array_position(F.array(*[F.lit(v) for v in pool.labels]), F.col("y")) - 1).cast("int")
+        return settle(pool.predict_proba(rows).select("row_id", index.alias("y"), vec, "probas"), "selector-scored")
+
+    chosen = selector(pool, scored(data.part("T_lambda")))
+    index_labels = list(range(len(pool.labels)))
+    metrics = {}
+    for part, rows in (("train", chosen.refs), ("test", scored(test))):
+        found = chosen.decision(chosen.competence(rows)).select("y", F.col("pred_idx").alias("pred"))
+        r = metrics_from_confusion(confusion(found), (), average_mode(index_labels)).first()
+        metrics |= {f"{part}_accuracy": r["accuracy"], f"{part}_precision": r["precision"], f"{part}_recall": r["recall"], f"{part}_f1_score": r["f1"]}
+    params = {"k": chosen.k, "Kp": chosen.kp, "Hc": chosen.hc, "voting": chosen.voting, "rejection_rate": 0.0}
+    registry.append(experiment, "METADESR", params, metrics, None)
+    return pool, chosen
