@@ -23,7 +23,7 @@ from demur.functions.fusion import (
     model_labels,
 )
 from demur.functions.scores import select_competent
-from demur.operators.neighbors import flat, knn_join
+from demur.operators.neighbors import flat, knn_equal_class, knn_join
 from demur.operators.reject import label_of, reject_low_competence
 from demur.session import settle
 
@@ -160,6 +160,7 @@ class CompetenceSelector:
     use_hardness: bool = False
     hardness_rate: float = 0.3
     safe_k: int | None = None
+    equal_class: bool = False
     metric: str = "minkowski"
     metric_options: dict = field(default_factory=dict)
     meta: object = "naive_bayes"
@@ -201,15 +202,16 @@ class CompetenceSelector:
 
     # -- neighbourhoods
     def near(self, queries: DataFrame) -> DataFrame:
-        """Queries with the records of their nearest references."""
-        found = knn_join(
-            queries.select("row_id", "vec"),
-            self.refs.select("row_id", "vec"),
-            self.k,
-            exclude_self=True,
-            metric=self.metric,
-            **self.metric_options,
-        )
+        """Queries with the records of their nearest references, or of equally many from each class."""
+        options = {"exclude_self": True, "metric": self.metric, **self.metric_options}
+        asked = queries.select("row_id", "vec")
+        if self.equal_class:
+            indices = list(range(len(self.labels)))
+            by_class = knn_equal_class(asked, self.refs, max(1, self.k // len(indices)), indices, **options)
+            merged = F.array_sort(F.flatten(F.collect_list("neighbors"))).alias("neighbors")
+            found = by_class.groupBy("row_id").agg(merged)
+        else:
+            found = knn_join(asked, self.refs.select("row_id", "vec"), self.k, **options)
         return queries.join(with_records(found, self.refs, "near"), "row_id")
 
     def described(self, queries: DataFrame) -> DataFrame:

@@ -155,6 +155,29 @@ def knn_join(
     ``queries`` and ``refs`` have ``row_id bigint, vec array<double>``. ``exclude_self`` leaves out the
     reference with the query's own id.
     """
+    return _join(queries, refs.withColumn("g", F.lit(0)), 1, k, p, exclude_self, metric, vi).drop("g")
+
+
+def knn_equal_class(
+    queries: DataFrame,
+    refs: DataFrame,
+    k: int,
+    labels: list,
+    y: str = "y",
+    p: float = 2.0,
+    exclude_self: bool = False,
+    metric: str = "minkowski",
+    vi: np.ndarray | None = None,
+) -> DataFrame:
+    """The same number of neighbours from each class: ``(row_id, y, neighbors)``."""
+    label_array = F.array(*[F.lit(v) for v in labels])
+    coded = refs.withColumn("g", (F.array_position(label_array, F.col(y)) - 1).cast("int")).where("g >= 0")
+    found = _join(queries, coded, len(labels), k, p, exclude_self, metric, vi)
+    return found.select("row_id", F.element_at(label_array, F.col("g") + 1).alias(y), "neighbors")
+
+
+def _join(queries, refs, groups, k, p, exclude_self, metric, vi) -> DataFrame:
+    """Neighbours within each reference group ``g`` of 0..groups-1."""
     if k < 1:
         raise ValueError("k must be at least 1")
     if p < 1:
@@ -163,55 +186,56 @@ def knn_join(
         p = 2.0
     keep, cosine = (k + 1 if exclude_self else k), metric == "cosine"
 
-    def keyed(df):
-        return df.select("row_id", metric_vector("vec", metric, vi).alias("vec")).withColumn("h", F.xxhash64("vec"))
+    def keyed(df, *more):
+        return df.select("row_id", *more, metric_vector("vec", metric, vi).alias("vec")).withColumn("h", F.xxhash64("vec"))
 
-    asked, known = keyed(queries), keyed(refs)
-    vectors = _distinct_references(known, keep)
-    vectors = settle(vectors, "knn-refs")
+    asked = keyed(queries)
+    vectors = settle(_distinct_references(keyed(refs, "g"), keep), "knn-refs")
     pivots = _pivots(vectors)
     if not len(pivots):
         return queries.select(
-            "row_id", F.array().cast("array<struct<dist:double,ref_id:bigint>>").alias("neighbors")
+            "row_id", F.lit(0).alias("g"), F.array().cast("array<struct<dist:double,ref_id:bigint>>").alias("neighbors")
         )
-    distinct = asked.groupBy("h", "vec").agg(F.min("row_id").alias("qid"))
-    distinct = settle(distinct, "knn-queries")
-    if len(pivots) == 1:
-        # few references: a single cell, nothing to exclude
-        cells = {0: {"blocks": max(1, math.ceil(vectors.count() / BLOCK_ROWS))}}
-        probes = distinct.select("qid", "vec", F.lit(0).alias("cell"))
-        found = _search(probes, vectors.withColumn("cell", F.lit(0)), cells, keep, p, cosine, {0: distinct.count()})
-    else:
+    many = len(pivots)
+    if many > 1 or groups > 1:
         vectors = vectors.withColumn("z", _nearest_pivot(pivots, p)("vec")).select(
-            "h", "vec", "ids", F.col("z.cell").alias("cell"), F.col("z.dist").alias("dp")
+            "h", "vec", "ids", (F.col("g") * many + F.col("z.cell")).alias("cell"), F.col("z.dist").alias("dp")
         )
         vectors = settle(vectors, "knn-cells")
         cells = _cell_stats(vectors, keep)
-        found = _search(_home_probes(distinct, pivots, cells, p), vectors, cells, keep, p, cosine)
+    else:
+        # few references: a single cell, nothing to exclude
+        cells = {0: {"blocks": max(1, math.ceil(vectors.count() / BLOCK_ROWS))}}
+    distinct = settle(asked.groupBy("h", "vec").agg(F.min("row_id").alias("qid")), "knn-queries")
+    if many == 1:
+        n = distinct.count()
+        probes = distinct.select("qid", "vec", F.explode(F.array(*[F.lit(c) for c in sorted(cells)])).alias("cell"))
+        found = _search(probes, vectors, cells, many, keep, p, cosine, dict.fromkeys(cells, n))
+    else:
+        found = _search(_home_probes(distinct, pivots, cells, p), vectors, cells, many, keep, p, cosine)
         found = settle(found, "knn-home")
         farthest = F.sqrt(2 * F.max("dist") + 4e-9) if cosine else F.max("dist")
-        reach = (
-            found.groupBy("qid")
-            .agg(farthest.alias("reach"), F.count(F.lit(1)).alias("n"))
-            .select("qid", F.when(F.col("n") >= keep, F.col("reach")).alias("reach"))
+        reach = found.groupBy("qid", "g").agg(
+            F.when(F.count(F.lit(1)) >= keep, farthest).alias("reach")
         )
-        more = _far_probes(distinct.join(reach, "qid", "left"), pivots, cells, keep, p)
-        found = found.unionByName(_search(more, vectors, cells, keep, p, cosine))
-    best = W.partitionBy("qid").orderBy("dist", "ref_id")
+        every = distinct.select("qid", "vec", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+        more = _far_probes(every.join(reach, ["qid", "g"], "left"), pivots, cells, keep, p)
+        found = found.unionByName(_search(more, vectors, cells, many, keep, p, cosine))
+    best = W.partitionBy("qid", "g").orderBy("dist", "ref_id")
     found = found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= keep)
-    lists = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("dist", "ref_id"))).alias("neighbors"))
+    lists = found.groupBy("qid", "g").agg(F.array_sort(F.collect_list(F.struct("dist", "ref_id"))).alias("neighbors"))
 
-    out = asked.join(distinct, ["h", "vec"]).select("row_id", "qid").join(lists, "qid").select("row_id", "neighbors")
+    out = asked.join(distinct, ["h", "vec"]).select("row_id", "qid").join(lists, "qid").select("row_id", "g", "neighbors")
     if exclude_self:
         out = out.withColumn("neighbors", F.expr("filter(neighbors, n -> n.ref_id != row_id)"))
     return out.withColumn("neighbors", F.slice("neighbors", 1, k))
 
 
 def _distinct_references(known: DataFrame, keep: int) -> DataFrame:
-    """One row by vector with its ``keep`` smallest ids; the limit applies before the shuffle."""
-    w = W.partitionBy("h", "vec").orderBy("row_id")
+    """One row by vector and group with its ``keep`` smallest ids; the limit applies before the shuffle."""
+    w = W.partitionBy("h", "vec", "g").orderBy("row_id")
     few = known.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
-    return few.groupBy("h", "vec").agg(F.array_sort(F.collect_list("row_id")).alias("ids"))
+    return few.groupBy("h", "vec", "g").agg(F.array_sort(F.collect_list("row_id")).alias("ids"))
 
 
 def _pivots(vectors: DataFrame) -> np.ndarray:
@@ -263,98 +287,128 @@ def _cell_stats(vectors: DataFrame, keep: int) -> dict:
 PROBE_SCHEMA = "qid bigint, vec array<double>, cell int"
 
 
+def _by_group(cells: dict, pivots: np.ndarray) -> dict[int, np.ndarray]:
+    """Cells that hold references, by group."""
+    out: dict[int, list] = {}
+    for c in sorted(cells):
+        out.setdefault(c // len(pivots), []).append(c)
+    return {g: np.array(cs) for g, cs in out.items()}
+
+
 def _home_probes(distinct: DataFrame, pivots: np.ndarray, cells: dict, p: float) -> DataFrame:
-    filled = np.array(sorted(cells))
+    """The nearest cell of each group."""
+    filled, many = _by_group(cells, pivots), len(pivots)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                d, _ = _all_distances(_matrix(b["vec"]), pivots[filled], p)
-                yield pd.DataFrame({"qid": b["qid"], "vec": b["vec"], "cell": filled[d.argmin(axis=1)].astype(np.int32)})
+                d, _ = _all_distances(_matrix(b["vec"]), pivots, p)
+                for cs in filled.values():
+                    home = cs[d[:, cs % many].argmin(axis=1)]
+                    yield pd.DataFrame({"qid": b["qid"], "vec": b["vec"], "cell": home.astype(np.int32)})
 
     return distinct.select("qid", "vec").mapInPandas(run, PROBE_SCHEMA)
 
 
-def _far_probes(distinct: DataFrame, pivots: np.ndarray, cells: dict, keep: int, p: float) -> DataFrame:
+def _far_probes(asked: DataFrame, pivots: np.ndarray, cells: dict, keep: int, p: float) -> DataFrame:
     """Cells beside the home cell that may hold a vector within reach."""
-    filled = np.array(sorted(cells))
-    lo = np.array([cells[c]["lo"] for c in filled])
-    hi = np.array([cells[c]["hi"] for c in filled])
-    near = np.array([(cells[c]["near"] + [np.inf] * keep)[:keep] for c in filled])
+    filled, many = _by_group(cells, pivots), len(pivots)
+    bounds = {
+        g: (
+            np.array([cells[c]["lo"] for c in cs]),
+            np.array([cells[c]["hi"] for c in cs]),
+            np.array([(cells[c]["near"] + [np.inf] * keep)[:keep] for c in cs]),
+        )
+        for g, cs in filled.items()
+    }
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            d, err = _all_distances(_matrix(b["vec"]), pivots[filled], p)
-            slack = 4 * err + 1e-8
-            home = d.argmin(axis=1)
-            # no vector can be farther than its way over the pivot, so the keep-th of these is enough
-            reach = b["reach"].to_numpy(dtype=float, na_value=np.nan)
-            for i in np.nonzero(np.isnan(reach))[0]:
-                reach[i] = np.partition((d[i][:, None] + near).ravel(), keep - 1)[keep - 1]
-            bound = np.maximum(np.maximum(d - hi, lo - d), (d - d[np.arange(len(d)), home][:, None]) / 2)
-            ask = bound <= reach[:, None] + slack
-            ask[np.arange(len(d)), home] = False
-            qi, ci = np.nonzero(ask)
-            step = 4096
-            for s in range(0, len(qi), step):
-                part = b.iloc[qi[s : s + step]]
-                yield pd.DataFrame(
-                    {"qid": part["qid"].to_numpy(), "vec": part["vec"].to_numpy(), "cell": filled[ci[s : s + step]].astype(np.int32)}
-                )
-
-    return distinct.select("qid", "vec", "reach").mapInPandas(run, PROBE_SCHEMA)
+        for batch in batches:
+            for g, b in batch.groupby("g"):
+                if g not in filled:
+                    continue
+                cs, (lo, hi, near) = filled[g], bounds[g]
+                d, err = _all_distances(_matrix(b["vec"]), pivots[cs % many], p)
+                slack = 4 * err + 1e-8
+                home = d.argmin(axis=1)
+                # no vector can be farther than its way over the pivot, so the keep-th of these is enough
+                reach = b["reach"].to_numpy(dtype=float, na_value=np.nan).copy()
+                for i in np.nonzero(np.isnan(reach))[0]:
+                    reach[i] = np.partition((d[i][:, None] + near).ravel(), keep - 1)[keep - 1]
+                bound = np.maximum(np.maximum(d - hi, lo - d), (d - d[np.arange(len(d)), home][:, None]) / 2)
+                ask = bound <= reach[:, None] + slack
+                ask[np.arange(len(d)), home] = False
+                qi, ci = np.nonzero(ask)
+                step = 4096
+                for s in range(0, len(qi), step):
+                    part = b.iloc[qi[s : s + step]]
+                    yield pd.DataFrame(
+                        {
+                            "qid": part["qid"].to_numpy(),
+                            "vec": part["vec"].to_numpy(),
+                            "cell": cs[ci[s : s + step]].astype(np.int32),
+                        }
+                    )
+
+    return asked.select("qid", "vec", "g", "reach").mapInPandas(run, PROBE_SCHEMA)
 
 
 def _search(
     probes: DataFrame,
     vectors: DataFrame,
     cells: dict,
+    many: int,
     keep: int,
     p: float,
     cosine: bool = False,
     load: dict | None = None,
 ) -> DataFrame:
-    """The ``keep`` best references of each probe: ``(qid, ref_id, dist)``. ``load``: probes by cell."""
+    """The ``keep`` best references of each probe: ``(qid, g, ref_id, dist)``. ``load``: probes by cell."""
     spark = probes.sparkSession
     if load is None:
         probes = settle(probes, "knn-probes")
         load = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = sorted(load)
-    plan = small_table(
-        spark,
-        {
-            "cell": used,
-            "blocks": [cells[c]["blocks"] for c in used],
-            "chunks": [max(1, math.ceil(load[c] / CHUNK_ROWS)) for c in used],
-        },
-        pa.schema([("cell", pa.int32()), ("blocks", pa.int32()), ("chunks", pa.int32())]),
-    )
+    blocks = [cells[c]["blocks"] for c in used]
+    chunks = [max(1, math.ceil(load[c] / CHUNK_ROWS)) for c in used]
+
+    def planned(df: DataFrame) -> DataFrame:
+        if used == [0] and "cell" not in vectors.columns:
+            return df.withColumns({"cell": F.lit(0), "blocks": F.lit(blocks[0]), "chunks": F.lit(chunks[0])})
+        plan = small_table(
+            spark,
+            {"cell": used, "blocks": blocks, "chunks": chunks},
+            pa.schema([("cell", pa.int32()), ("blocks", pa.int32()), ("chunks", pa.int32())]),
+        )
+        return df.join(F.broadcast(plan), "cell")
+
     key = ["cell", "block", "chunk"]
     # every chunk of a cell's queries meets every block of its references; both are of bounded size
     left = (
-        probes.join(F.broadcast(plan), "cell")
+        planned(probes)
         .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*key, "qid", "vec")
     )
     right = (
-        vectors.join(F.broadcast(plan), "cell")
+        planned(vectors)
         .withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(*key, F.col("vec").alias("rvec"), "ids")
     )
 
-    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
-            return pd.DataFrame({"qid": [], "ref_id": [], "dist": []}).astype(
-                {"qid": np.int64, "ref_id": np.int64, "dist": float}
+            return pd.DataFrame({"qid": [], "g": [], "ref_id": [], "dist": []}).astype(
+                {"qid": np.int64, "g": np.int32, "ref_id": np.int64, "dist": float}
             )
         at, rid, dist = _best(_matrix(q["vec"]), _matrix(r["rvec"]), list(r["ids"]), keep, p, cosine)
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[at], "ref_id": rid, "dist": dist})
+        group = np.int32(key[0] // many)
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[at], "g": group, "ref_id": rid, "dist": dist})
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "qid bigint, ref_id bigint, dist double")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
+        compare, "qid bigint, g int, ref_id bigint, dist double"
+    )
 
 
 def flat(neighbors: DataFrame) -> DataFrame:
@@ -364,15 +418,6 @@ def flat(neighbors: DataFrame) -> DataFrame:
     )
 
 
-def knn_equal_class(queries: DataFrame, refs: DataFrame, k: int, labels: list, y: str = "y", **options) -> DataFrame:
-    """The same number of neighbours from each class: ``(row_id, y, neighbors)``."""
-    out = None
-    for label in labels:
-        part = knn_join(queries, refs.where(F.col(y) == F.lit(label)), k, **options).withColumn("y", F.lit(label))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 class KNN:
     """Nearest-neighbour classifier as a pool member."""
 

@@ -124,7 +124,7 @@ def _target(df: DataFrame, column: str, label) -> DataFrame:
 def _clean_listing(df: DataFrame) -> DataFrame:
     text = F.col("bathrooms_text")
     df = df.withColumns({"bathrooms": tx.bathroom_count(text), "bathroom_type": tx.bathroom_type(text)})
-    df = prep.drop_null_rows(prep.project(df, LISTING_COLUMNS))
+    df = prep.drop_null_rows(prep.project(df, ["row_id", *LISTING_COLUMNS]))
     df = df.withColumns(
         {
             "host_response_rate": tx.parse_percent(F.col("host_response_rate")),
