@@ -32,6 +32,7 @@ from demur.session import num_lit, settle, small_table
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 2048
 MAX_PIVOTS = 1024
+MAX_CELLS = 65_536
 # Doubles that the pivots may take on the driver and in each task.
 MAX_PIVOT_CELLS = 4_000_000
 # Pairs x dimensions that one numpy step may hold.
@@ -191,7 +192,7 @@ def _join(queries, refs, groups, k, p, exclude_self, metric, vi) -> DataFrame:
 
     asked = keyed(queries)
     vectors = settle(_distinct_references(keyed(refs, "g"), keep), "knn-refs")
-    pivots = _pivots(vectors)
+    pivots = _pivots(vectors, groups)
     if not len(pivots):
         return queries.select(
             "row_id", F.lit(0).alias("g"), F.array().cast("array<struct<dist:double,ref_id:bigint>>").alias("neighbors")
@@ -238,14 +239,14 @@ def _distinct_references(known: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("h", "vec", "g").agg(F.array_sort(F.collect_list("row_id")).alias("ids"))
 
 
-def _pivots(vectors: DataFrame) -> np.ndarray:
-    """A sample of the distinct vectors in hash order; size bounded by rows and doubles."""
+def _pivots(vectors: DataFrame, groups: int) -> np.ndarray:
+    """A sample of the distinct vectors in hash order; size bounded by rows, doubles and cells."""
     n = vectors.count()
     if n == 0:
         return np.empty((0, 0))
     wanted = max(1, min(MAX_PIVOTS, n // BLOCK_ROWS))
     width = len(vectors.select("vec").first()[0])
-    wanted = max(1, min(wanted, MAX_PIVOT_CELLS // max(1, width)))
+    wanted = max(1, min(wanted, MAX_PIVOT_CELLS // max(1, width), MAX_CELLS // groups))
     rows = vectors.orderBy("h").limit(wanted).select("vec").collect()
     return np.array([r[0] for r in rows], dtype=float)
 

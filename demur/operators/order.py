@@ -20,9 +20,9 @@ from pyspark.storagelevel import StorageLevel
 from demur.session import cut_lineage, small_table
 
 # Histogram cells per pass over all open intervals; bounds what the driver receives.
-CELLS_PER_PASS = 16_384
+CELLS_PER_PASS = 32_768
 # Once the open intervals hold no more rows than this, their values are counted one by one.
-DIRECT_ROWS = 20_000
+DIRECT_ROWS = 100_000
 
 
 class Statistic(NamedTuple):
@@ -229,6 +229,7 @@ def exact_rank(
     tells rows apart. The ranged rows are checkpointed, so counts and positions belong to one layout.
     """
     spark = df.sparkSession
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(width, n // 10_000), math.ceil(n / ROWS_PER_RANGE))
@@ -239,6 +240,7 @@ def exact_rank(
         .withColumn("_at", F.monotonically_increasing_id())
     )
     ranged = cut_lineage(ranged)
+    df.unpersist()
     part = F.shiftright("_at", _POSITION_BITS)
     local = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     totals = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from demur.operators.order import exact_rank
-from demur.session import quoted, small_table
+from demur.session import quoted, settle, small_table
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -130,6 +130,7 @@ def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         .join(ranks.select(F.col("c").alias("col_b"), F.col("v").alias("y"), F.col("r").alias("j")), ["col_b", "y"])
         .select("col_a", "col_b", "i", "j", "w")
     )
+    points = settle(points, "kendall")
     top = ranks.agg(F.max("r")).first()[0] or 1
     bits = max(1, int(top).bit_length())
     levels = F.sequence(F.lit(0), F.lit(bits))

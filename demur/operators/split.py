@@ -12,12 +12,15 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from demur.operators.order import exact_rank, ordered_cuts
 from demur.session import small_table
 
 # The four parts, a quarter each.
 PARTS = ("T", "T_lambda", "DSEL", "G")
+# Copies of one row that one task makes without a shuffle.
+COPIES_PER_BLOCK = 10_000
 
 
 def hash_order(seed: int, row_id: str = "row_id") -> Column:
@@ -38,10 +41,13 @@ def _class_cuts(df: DataFrame, y: str | None, seed: int, counts) -> DataFrame:
     spark = df.sparkSession
     group = F.lit("all") if y is None else F.col(y).cast("string")
     rows = df.withColumn("_h", hash_order(seed)).withColumn("_g", group)
-    sizes, cuts = ordered_cuts(
-        rows.select(F.col("_g").alias("g"), F.col("_h").alias("key"), "row_id"),
-        lambda g, n: counts(g, n),
-    )
+    # the passes of the search read a narrow copy, which is released at once
+    narrow = rows.select(F.col("_g").alias("g"), F.col("_h").alias("key"), "row_id")
+    narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes, cuts = ordered_cuts(narrow, counts)
+    finally:
+        narrow.unpersist()
     columns: dict[str, list] = {"_g": list(sizes)}
     fields = [("_g", pa.string())]
     width = max((len(counts(g, n)) for g, n in sizes.items()), default=0)
@@ -98,7 +104,14 @@ def oversample(df: DataFrame, seed: int, y: str = "y") -> DataFrame:
     rows = _class_cuts(df, y, seed, lambda g, n: [top % n])
     whole = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(top // n))])
     times = whole[F.col("_g")] + F.expr(f"cast({_first(0)} as int)")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_g", "_h", "_k0", "_id0")
+    rows = rows.withColumn("_times", times).drop("_g", "_h", "_k0", "_id0")
+    # copies are made in blocks; many copies of few rows are spread over the tasks first
+    rows = rows.withColumn("_block", F.explode(F.expr(f"sequence(0, (_times - 1) div {COPIES_PER_BLOCK})")))
+    if sizes and top // min(sizes.values()) > COPIES_PER_BLOCK:
+        rows = rows.repartition("row_id", "_block")
+    copies = f"sequence(_block * {COPIES_PER_BLOCK} + 1, least(_times, (_block + 1) * {COPIES_PER_BLOCK}))"
+    rows = rows.withColumn("copy", F.explode(F.expr(copies))).drop("_times", "_block")
+    return rows.withColumn("copy", F.col("copy").cast("int"))
 
 
 def fold_count(n: int) -> int:

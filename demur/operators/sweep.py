@@ -115,7 +115,11 @@ def first_reject_rate(
     """Lowest rate at which each row is rejected, by method; rate 1 rejects every row."""
     rates = complete_rates(rates, required=1.0)
     scores = pool_scores(methods) if kind == "pool" else competence_scores(methods)
-    levels = _levels(decided, scores, rates, kind == "pool", [])
+    return _first_rates(_levels(decided, scores, rates, kind == "pool", []), rates)
+
+
+def _first_rates(levels: DataFrame, rates: list[float]) -> DataFrame:
+    """A row that passes ``level`` of the ascending rates is refused at the next one."""
     rate_of = F.array(*[F.lit(r) for r in rates])
     return levels.select("row_id", "method", F.element_at(rate_of, F.col("level") + 1).alias("rate"))
 
@@ -127,11 +131,13 @@ def sweep_history(
     methods: Iterable[str] = METHODS,
     kind: str = "pool",
 ) -> tuple[DataFrame, DataFrame]:
-    """``(curve, history)``: rate 1 is added for the history but has no metrics; 0 is not added."""
+    """``(curve, history)`` from one set of cuts: rate 1 is added for the history but accepts no row."""
     full = complete_rates(rates, required=1.0)
-    shown = [r for r in full if r < 1]
-    curve = sweep_rates(decided, labels, shown, methods, kind).where(F.col("rate").isin(shown))
-    return curve, first_reject_rate(decided, full, methods, kind)
+    scores = pool_scores(methods) if kind == "pool" else competence_scores(methods)
+    rows = decided.withColumn("_y", F.col("y")).withColumn("_pred", F.col("pred_label"))
+    levels = _levels(rows, scores, full, kind == "pool", ["_y", "_pred"])
+    levels = levels.withColumnsRenamed({"_y": "y", "_pred": "pred"})
+    return _curve(levels, full, [], average_mode(labels)), _first_rates(levels, full)
 
 
 def sweep_thresholds(

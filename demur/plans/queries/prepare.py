@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from demur.functions import text as tx
 from demur.operators import prep, profile, split
+from demur.operators.metrics import label_set as label_values
 from demur.plans import views
 from demur.plans.oracle_parts import DOCS, EVENTS, ORDERS, SEED, VECTORS, hash_sql, prepared, with_split
 from demur.plans.registry import query
@@ -221,7 +222,7 @@ def registry_load_pool(spark, sf_dir):
     """Requests for every known run, and for names that no run has."""
     known = _runs(spark, sf_dir)
     experiments = known.select("experiment").distinct()
-    types = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().limit(1001).collect()]
+    types = label_values(table(spark, sf_dir, "part"), "p_type")
     strange = experiments.select(
         "experiment", F.explode(F.array(*[F.lit(f"model_{t}") for t in types])).alias("run_name")
     )

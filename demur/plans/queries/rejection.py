@@ -214,8 +214,8 @@ def sweep_models(spark, sf_dir):
     + " r, (SELECT DISTINCT l_discount AS threshold FROM lineitem) t"
 )
 def sweep_grid(spark, sf_dir):
-    found = views.table(spark, sf_dir, "lineitem").select("l_discount").distinct().limit(1001).collect()
-    return sw.sweep_grid(spark, METHODS, RATES, [r[0] for r in found])
+    thresholds = me.label_set(views.table(spark, sf_dir, "lineitem"), "l_discount")
+    return sw.sweep_grid(spark, METHODS, RATES, thresholds)
 
 
 @query(

@@ -11,7 +11,7 @@ from demur.operators import neighbors as nb
 from demur.operators import reject as rj
 from demur.operators import sweep as sw
 from demur.operators.bayes import QDA
-from demur.operators.metrics import metric_auto
+from demur.operators.metrics import label_set, metric_auto
 from demur.plans import views
 from demur.plans.oracle_parts import ORDERS, SEED, SPLIT, VECTORS_P, metrics_sql, prepared, with_split
 from demur.plans.registry import query
@@ -80,7 +80,7 @@ def knn_metric_mahalanobis(spark, sf_dir):
 SELECT row_id, y, row_number() OVER (PARTITION BY row_id, y ORDER BY dist, ref_id) AS "rank", ref_id FROM n QUALIFY "rank" <= 2""")
 def knn_equal_class(spark, sf_dir):
     v = _vec(spark, sf_dir)
-    labels = sorted(r[0] for r in v.select("y").distinct().collect())
+    labels = label_set(v)
     found = nb.knn_equal_class(v, v, 2, labels, exclude_self=True)
     return found.select("row_id", "y", F.posexplode("neighbors").alias("pos", "n")).select(
         "row_id", "y", (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("n.ref_id").alias("ref_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demur.operators.bayes import GaussianNB
+from demur.operators.metrics import label_set
 from demur.operators.pool import Pool
 from demur.operators.prep import Scaler, impute_median
 from demur.operators.split import split_four_way
@@ -47,7 +48,7 @@ def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five classes by sorted event type."""
     events = table(spark, sf_dir, "events")
-    types = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
+    types = label_set(events, "event_type")
     code = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("event_type")) - 1
     return events.select(
         F.col("event_id").alias("row_id"),

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Upper bound for anything the driver builds itself and broadcasts (rows).
 SMALL_ROWS = 100_000
-# A settled table of this many rows is spread over all cores.
-SPREAD_FROM, SPREAD_ROWS = 10_000, 5_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,15 +48,12 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    # a table out of few files would stay in few tasks, however many passes follow
+    if 0 < len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    # a small table in few files would be scanned by few tasks, however many passes follow
-    if len(back.inputFiles()) < cores and SPREAD_FROM <= back.count() <= SPREAD_ROWS:
-        path = scratch_path(spark, name)
-        back.repartition(cores).write.parquet(path)
-        back = spark.read.schema(df.schema).parquet(path)
-    return back
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, columns: dict, schema: pa.Schema) -> DataFrame:

@@ -219,3 +219,11 @@ def test_shapes_and_unknown_names(spark):
     for call in (lambda: datasets.get_data(spark, "nothing", "x"), lambda: datasets.prepare_shape(spark, "square", 1)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_many_copies_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(sp, "COPIES_PER_BLOCK", 50)
+    df = spark.range(1000).select(F.col("id").alias("row_id"), F.when(F.col("id") < 3, 1).otherwise(0).alias("y"))
+    out = sp.oversample(df, 1)
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 997, 1: 997}
+    assert out.groupBy("row_id", "copy").count().where("count > 1").count() == 0
