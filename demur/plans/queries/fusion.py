@@ -197,7 +197,8 @@ def fuse_weighted(spark, sf_dir):
 @query(
     ORDERS_P
     + """
-SELECT row_id, y, m AS model, round(1 - max(p), 6) AS uncertainty FROM p GROUP BY row_id, y, m"""
+SELECT row_id, y, m AS model, round(1 - max(p), 6) AS uncertainty FROM p GROUP BY row_id, y, m""",
+    name="model_uncertainty",
 )
 def model_uncertainty_by_row(spark, sf_dir):
     scored, _ = views.scored_orders(spark, sf_dir)

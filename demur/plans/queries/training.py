@@ -172,7 +172,7 @@ for _name, _make in (
 
 
 @query()
-def score_in_pipeline(spark, sf_dir):
+def score_as_unit(spark, sf_dir):
     """Scaler and classifier as one unit that scores raw rows."""
     rows = settle(split_four_way(views.docs_view(spark, sf_dir), SEED), "docs")
     onehot = OneHot.fit(rows.where("split = 'T'"), ["lang"])

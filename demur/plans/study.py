@@ -219,5 +219,5 @@ def train_and_register(
         r = metrics_from_confusion(confusion(found), (), average_mode(index_labels)).first()
         metrics |= {f"{part}_accuracy": r["accuracy"], f"{part}_precision": r["precision"], f"{part}_recall": r["recall"], f"{part}_f1_score": r["f1"]}
     params = {"k": chosen.k, "Kp": chosen.kp, "Hc": chosen.hc, "voting": chosen.voting, "rejection_rate": 0.0}
-    registry.append(experiment, "METADESR", params, metrics, None)
+    registry.append(experiment, "Selector", params, metrics, None)
     return pool, chosen

@@ -153,7 +153,7 @@ def test_train_register_and_load_again(spark, tmp_path):
     pool, _ = study.train_and_register(registry, "moons_v6_2", data, members)
     assert made == [1] and pool.names == list(members) and chosen is not None
     runs = {r["run_name"]: r["metrics"] for r in registry.runs.collect()}
-    assert set(runs) == {"Decision_Tree", "Logistic_Regression", "METADESR"}
+    assert set(runs) == {"Decision_Tree", "Logistic_Regression", "Selector"}
     assert runs["Decision_Tree"]["test_accuracy"] > 0.8 and 0.8 < runs["Decision_Tree"]["test_auroc"] <= 1
     study.registry_migrate(registry, "moons_v6_2", "moons_v7_2", ["Decision_Tree"], data.train(), data.part("G"))
     assert registry.lookup("moons_v7_2", "Decision_Tree")["params"] == {"depth": "4", "labels": "0,1"}
