@@ -36,11 +36,15 @@ def split_four_way(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFram
     return df.withColumn("split", F.element_at(F.array(*[F.lit(p) for p in PARTS]), bucket.cast("int") + 1))
 
 
+def _group(y: str | None) -> Column:
+    """Class as text; rows without a class form one of their own."""
+    return F.lit("all") if y is None else F.coalesce(F.col(y).cast("string"), F.lit("no class"))
+
+
 def _class_cuts(df: DataFrame, y: str | None, seed: int, counts) -> DataFrame:
     """Adds ``_h`` and, by class, the cut columns ``_k{i}``/``_id{i}`` for ``counts(n) -> list of k``."""
     spark = df.sparkSession
-    group = F.lit("all") if y is None else F.col(y).cast("string")
-    rows = df.withColumn("_h", hash_order(seed)).withColumn("_g", group)
+    rows = df.withColumn("_h", hash_order(seed)).withColumn("_g", _group(y))
     # the passes of the search read a narrow copy, which is released at once
     narrow = rows.select(F.col("_g").alias("g"), F.col("_h").alias("key"), "row_id")
     narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
@@ -48,14 +52,19 @@ def _class_cuts(df: DataFrame, y: str | None, seed: int, counts) -> DataFrame:
         sizes, cuts = ordered_cuts(narrow, counts)
     finally:
         narrow.unpersist()
+    if not sizes:  # an empty table: cuts that take no row
+        none = range(len(counts("", 1)))
+        return rows.withColumns({f"_{c}{i}": F.lit(-1).cast("bigint") for i in none for c in ("k", "id")})
     columns: dict[str, list] = {"_g": list(sizes)}
     fields = [("_g", pa.string())]
-    width = max((len(counts(g, n)) for g, n in sizes.items()), default=0)
+    width = max(len(counts(g, n)) for g, n in sizes.items())
     for i in range(width):
         picked = [cuts[(g, counts(g, n)[i])] for g, n in sizes.items()]
         columns[f"_k{i}"] = [-1 if c.key is None else c.key for c in picked]
         columns[f"_id{i}"] = [2**63 - 1 if c.row_id is None else c.row_id for c in picked]
         fields += [(f"_k{i}", pa.int64()), (f"_id{i}", pa.int64())]
+    if y is None:
+        return rows.withColumns({c: F.lit(v[0]).cast("bigint") for c, v in columns.items() if c != "_g"})
     cut_table = small_table(spark, columns, pa.schema(fields))
     return rows.join(F.broadcast(cut_table), "_g")
 
@@ -99,7 +108,7 @@ def oversample(df: DataFrame, seed: int, y: str = "y") -> DataFrame:
     With c rows in a class and m in the largest, every row comes ``m div c`` times and the first
     ``m mod c`` of the hash order once more.
     """
-    sizes = {str(r[0]): r[1] for r in df.groupBy(y).count().collect()}
+    sizes = {r["g"]: r["count"] for r in df.groupBy(_group(y).alias("g")).count().collect()}
     top = max(sizes.values(), default=0)
     rows = _class_cuts(df, y, seed, lambda g, n: [top % n])
     whole = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(top // n))])

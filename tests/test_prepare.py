@@ -227,3 +227,18 @@ def test_many_copies_of_few_rows(spark, monkeypatch):
     out = sp.oversample(df, 1)
     assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 997, 1: 997}
     assert out.groupBy("row_id", "copy").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["boolean", "double"])
+def test_classes_of_any_type_and_missing_ones(spark, kind):
+    df = spark.range(90).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3 - 1).cast(kind).alias("y")
+    ).where("row_id % 3 <> 1 or row_id < 40")
+    assert sp.split_stratified(df, 0.5, 1).count() == df.count()
+    counts = {r["y"]: r["count"] for r in sp.oversample(df, 1).groupBy("y").count().collect()}
+    assert len(counts) == 3 and set(counts.values()) == {30}
+
+
+def test_split_of_nothing(spark):
+    df = spark.createDataFrame([], "row_id bigint, y int")
+    assert sp.split_stratified(df, 0.5, 1).count() == 0

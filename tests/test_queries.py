@@ -17,6 +17,8 @@ def con():
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n in entry.oracle_sql()])
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert compare(df, con, entry.oracle_sql()[name]) == ""
 
 
