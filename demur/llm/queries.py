@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from demur.llm import packing, pii, tokens  # noqa: F401
+from demur.llm import packing, pii, quality, tokens  # noqa: F401
