@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from demur.llm import licenses, mixing, packing, pii, quality, tokens  # noqa: F401
+from demur.llm import importance, licenses, mixing, neighbours, packing, pii, quality, tokens  # noqa: F401
