@@ -1,11 +1,87 @@
-"""A corpus pipeline over ``documents``: each stage reads what the one before it wrote."""
+"""A corpus pipeline over ``documents``: each stage reads what the one before it wrote.
+
+Quality rules drop bad texts, one document of each near-duplicate group stays, personal data is masked,
+sources are mixed to target weights, and what is left is packed into training sequences. All stages but
+the last return the columns of ``documents``. What a stage keeps in the shared folder while it works is
+deleted when the next stage begins, since by then its result is written.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from demur.llm import jaccard, mixing, packing, pii, quality
+from demur.llm.registry import Scratch, stored, table
+
+# share of the tokens that the mixture takes; every document at most once
+MIXED_SHARE = 0.9
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    carried = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    judged = quality.quality(carried, keep=("row",)).where("kept")
+    return judged.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; of rows that share an id, one."""
+    groups = jaccard.near_duplicates(docs)
+    ids = stored(groups.where("doc_id = class_id or doc_id is null").select("doc_id"), "kept")
+    first = ids.where("doc_id is not null").distinct()
+    out = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    repeated = ids.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+    out = out.dropDuplicates(["doc_id"]) if repeated else out
+    return out.unionByName(docs.where("doc_id is null"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked, and their new length."""
+    out = pii.redact_pii(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mixture."""
+    return mixing.mixed_documents(
+        docs, budget_share=MIXED_SHARE, max_epochs=1, weights={"lang": mixing.LANGUAGE_WEIGHTS}
+    )
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and offset."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_scratch = Scratch()
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch.clear(spark)
+        with _scratch:
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [
+    ("quality rules", _stage(keep_good)),
+    ("n-gram Jaccard join", _stage(keep_one_of_near_duplicates)),
+    ("PII", _stage(mask_personal_data)),
+    ("mixing sources to target weights", _stage(mix_sources)),
+    ("packing", _stage(pack_sequences)),
+]
+# near duplicates, EM and tokens have no SQL; tests hold the stages against plain computations
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,3 +1,14 @@
 """Imports every module that registers queries."""
 
-from demur.llm import importance, jaccard, licenses, mixing, neighbours, packing, pii, quality, tokens  # noqa: F401
+from demur.llm import (  # noqa: F401
+    importance,
+    jaccard,
+    licenses,
+    mixing,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    repeats,
+    tokens,
+)

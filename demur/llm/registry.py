@@ -31,4 +31,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    Scratch.note(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Collects the folders that ``stored`` writes inside its block, to delete them later.
+
+    A result reads them until it is written itself, so the owner calls ``clear`` only after that.
+    """
+
+    _open: list[Scratch] = []
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+
+    @staticmethod
+    def note(path: str) -> None:
+        if Scratch._open:
+            Scratch._open[-1].paths.append(path)
+
+    def clear(self, spark: SparkSession) -> None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
