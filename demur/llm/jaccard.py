@@ -91,6 +91,14 @@ def min_values(wide: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bands(mins: np.ndarray) -> np.ndarray:
+    """One key for each band's values, other keys for other bands."""
+    key = np.zeros((len(mins), BANDS), U64)
+    for k in range(ROWS):
+        key = mixed(key * U64(31) + mins[:, k::ROWS].astype(U64) + np.arange(BANDS, dtype=U64))
+    return key.view(np.int64)
+
+
 def _binary(rows: np.ndarray, width: int) -> pa.Array:
     data = np.ascontiguousarray(rows).view(np.uint8).reshape(-1)
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
@@ -98,7 +106,7 @@ def _binary(rows: np.ndarray, width: int) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, c, n, mins`` of every row of ``doc_id, t``: set key, size and MinHash values."""
+    """``doc_id, c, n, bands, sketch`` of every row of ``doc_id, t``: set key, size, band keys, MinHash bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,17 +115,19 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n = np.diff(limits)
                 mins = np.zeros((len(n), VALUES), np.uint32)
                 mins[n > 0] = min_values(wide, limits)
+                bands = _bands(mins)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(s.first, len(n)),
                         pa.array(set_keys(wide, limits).view(np.int64)),
                         pa.array(n.astype(np.int64)),
-                        _binary(mins, 4 * VALUES),
+                        pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, bands.reshape(-1)),
+                        _binary((mins & 0xFF).astype(np.uint8), VALUES),
                     ],
-                    names=["doc_id", "c", "n", "mins"],
+                    names=["doc_id", "c", "n", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, c long, n long, mins binary")
+    return docs.mapInArrow(run, "doc_id long, c long, n long, bands array<long>, sketch binary")
 
 
 def fewest_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -231,13 +241,10 @@ def _pairs(starts: np.ndarray, side: np.ndarray, lo: np.ndarray, hi: np.ndarray)
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """``a, b``: a spanning forest, by task, of the pairs of classes that survive the comparison of sketches."""
-    bands = classes.where("n > 0").select(
-        "c",
-        F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(mins, k * {4 * ROWS} + 1, {4 * ROWS})))")).alias("band"),
-    )
+    bands = classes.select("c", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(bands.join(shared, "band"), "bands")
-    sketches = classes.select("c", "mins")
+    sketches = classes.select("c", "sketch")
     rows = members.join(sketches, "c")
     rows = block_pairs(rows, "band", "c", "size", BUCKET_BLOCK).repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "c")
     fewest = fewest_matches(NUMERATOR / DENOMINATOR)
@@ -246,8 +253,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, names, 4096):
             c = t.column("c").to_numpy()
-            mins = np.frombuffer(b"".join(t.column("mins").to_pylist()), np.uint32).reshape(-1, VALUES)
-            sketch = (mins & 0xFF).astype(np.uint8)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
             distinct, node = np.unique(c, return_inverse=True)
             root = np.arange(len(distinct))
             lo, hi, own = (t.column(k).to_numpy() for k in ("lo", "hi", "own"))
@@ -262,12 +268,13 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             far = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(distinct[far]), pa.array(distinct[root[far]])], names=["a", "b"])
 
-    return rows.select("band", "lo", "hi", "own", "c", "mins").mapInArrow(run, "a long, b long")
+    return rows.select("band", "lo", "hi", "own", "c", "sketch").mapInArrow(run, "a long, b long")
 
 
 def exact_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``root, size, c, weight, items`` for each class of ``chosen`` (``c, doc_id, root, size, weight``)."""
-    texts = docs.join(chosen, "doc_id")
+    # one kind of join at every size: a broadcast would grow with the near duplicates
+    texts = docs.join(chosen.hint("merge"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,7 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(
         signed.where("n > 0")
         .groupBy("c")
-        .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("mins").alias("mins")),
+        .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     found = components(candidate_edges(classes))
