@@ -33,7 +33,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     groups = jaccard.near_duplicates(docs)
     ids = stored(groups.where("doc_id = class_id or doc_id is null").select("doc_id"), "kept")
     first = ids.where("doc_id is not null").distinct()
-    out = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(first.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     repeated = ids.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
     out = out.dropDuplicates(["doc_id"]) if repeated else out
     return out.unionByName(docs.where("doc_id is null"))
