@@ -25,9 +25,9 @@ TOGETHER = 48
 # fewer pieces than this are worked on one by one, too
 FEW = 64
 # distinct pieces that a worker remembers before it starts anew
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 STEP = U64(0x100000001B3)
-NEAR_SHIFT = U64(42)
+NEAR_SHIFT = U64(44)
 
 
 class Lookup:
@@ -181,8 +181,8 @@ class Bpe:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.near_key = np.zeros(1 << 22, U64)
-        self.near_slot = np.full(1 << 22, -1, np.int32)
+        self.near_key = np.zeros(1 << 20, U64)
+        self.near_slot = np.full(1 << 20, -1, np.int32)
         self.counts = np.zeros(1024, np.int32)
         self.at = np.zeros(1024 + 1, np.int64)
         self.flat = np.zeros(4096, np.uint32)
