@@ -57,6 +57,9 @@ def normalised_rate(column: str) -> Column:
 
 
 def score_key(score: Column, highest_first: bool = True) -> Column:
-    """Integer order key: 9 digits of the score, smallest key = first to be rejected."""
-    digits = F.round(F.round(score, 9) * F.lit(1e9), 0).cast("bigint")
+    """Integer order key: 9 digits of the score, smallest key = first to be rejected.
+
+    Scores beyond 9.2e9 on either side share the last key, and row ids settle their order.
+    """
+    digits = F.least(F.greatest(F.round(F.round(score, 9) * F.lit(1e9), 0), F.lit(-9.2e18)), F.lit(9.2e18)).cast("bigint")
     return -digits if highest_first else digits

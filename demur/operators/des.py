@@ -23,6 +23,7 @@ from demur.functions.fusion import (
     model_labels,
 )
 from demur.functions.scores import select_competent
+from demur.operators.learners import checked_depth
 from demur.operators.neighbors import flat, knn_equal_class, knn_join
 from demur.operators.reject import label_of, reject_low_competence
 from demur.session import settle
@@ -293,5 +294,5 @@ def classify(rows: DataFrame) -> DataFrame:
 def forest(n_trees: int = 100, depth: int = 5, min_leaf: int = 1, impurity: str = "gini", seed: int = 42):
     """Meta-classifier as used in the selector search."""
     return RandomForestClassifier(
-        numTrees=n_trees, maxDepth=min(depth, 30), minInstancesPerNode=min_leaf, impurity=impurity, seed=seed
+        numTrees=n_trees, maxDepth=checked_depth(depth), minInstancesPerNode=min_leaf, impurity=impurity, seed=seed
     )

@@ -198,10 +198,20 @@ class AdaBoost(MLMember):
         return out.withColumn(name, F.expr(shares)).drop("_v")
 
 
+MAX_DEPTH = 30
+
+
+def checked_depth(depth: int) -> int:
+    """MLlib's trees end at 30 levels; a deeper wish is an error and not cut silently."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is more than MLlib's limit of {MAX_DEPTH}")
+    return depth
+
+
 # --- factories: one by member name ---------------------------------------------------------
 def fit_tree(features, depth=8, impurity="gini", min_leaf=1, seed=42, weight=None):
     def make(n):
-        tree = DecisionTreeClassifier(maxDepth=min(depth, 30), impurity=impurity, minInstancesPerNode=min_leaf, seed=seed)
+        tree = DecisionTreeClassifier(maxDepth=checked_depth(depth), impurity=impurity, minInstancesPerNode=min_leaf, seed=seed)
         return tree.setWeightCol(weight) if weight else tree
 
     return MLMember(features, make)
@@ -250,7 +260,7 @@ def fit_forest(features, trees=100, depth=10, min_leaf=1, impurity="gini", subse
     return MLMember(
         features,
         lambda n: RandomForestClassifier(
-            numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=min_leaf, impurity=impurity,
+            numTrees=trees, maxDepth=checked_depth(depth), minInstancesPerNode=min_leaf, impurity=impurity,
             featureSubsetStrategy=subset, seed=seed,
         ),
     )
@@ -261,7 +271,7 @@ def fit_boosted(features, trees=50, depth=3, step=0.1, subsample=1.0, min_leaf=1
         return MLMember(
             features,
             lambda n: GBTClassifier(
-                maxIter=trees, maxDepth=min(depth, 30), stepSize=step, subsamplingRate=subsample,
+                maxIter=trees, maxDepth=checked_depth(depth), stepSize=step, subsamplingRate=subsample,
                 minInstancesPerNode=min_leaf, seed=seed,
             ),
         )

@@ -94,11 +94,11 @@ def metric_auroc(df: DataFrame, y: str = "y", score: str = "score", positive: in
     if len(labels) != 2 or positive not in labels:
         return small_table(spark, {"auroc": [None]}, pa.schema([("auroc", pa.float64())]))
     by_score = (
-        df.select((F.col(y) == positive).cast("int").alias("pos"), F.round(score, 9).alias("s"))
+        df.select((F.col(y) == positive).cast("int").alias("pos"), (F.col(score) + 0.0).alias("s"))
         .groupBy("s")
         .agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("q"))
     )
-    lo, hi = df.agg(F.min(F.round(score, 9)), F.max(F.round(score, 9))).first()
+    lo, hi = df.agg(F.min(F.col(score) + 0.0), F.max(F.col(score) + 0.0)).first()
     width = (hi - lo) / AUROC_RANGES or 1.0
     ranged = by_score.withColumn(
         "b", F.least(F.lit(AUROC_RANGES - 1), F.floor((F.col("s") - F.lit(lo)) / F.lit(width)).cast("int"))
@@ -118,7 +118,7 @@ def metric_auroc(df: DataFrame, y: str = "y", score: str = "score", positive: in
         ranged.withColumn("lower", F.coalesce(F.sum("q").over(inside), F.lit(0)))
         .join(F.broadcast(offsets), "b")
         .select("p", "q", (F.col("p") * (F.col("start") + F.col("lower") + F.col("q") / 2.0)).alias("u"))
-        .agg((F.sum("u") / (F.sum("p") * F.sum("q"))).alias("auroc"))
+        .agg((F.sum("u") / (F.sum("p").cast("double") * F.sum("q"))).alias("auroc"))
     )
 
 

@@ -256,7 +256,10 @@ def impute_mode(df: DataFrame, columns: list[str]) -> Imputer:
 # --- scaling -------------------------------------------------------------------------------
 @dataclass
 class Scaler:
-    """Standardises chosen columns by mean and population deviation; a deviation of 0 counts as 1."""
+    """Standardises chosen columns by mean and population deviation; a deviation of 0 counts as 1.
+
+    A column without any value stays NULL.
+    """
 
     stats: dict[str, tuple[float, float]] = field(default_factory=dict)
 
@@ -271,7 +274,10 @@ class Scaler:
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
-            {c: F.expr(f"({quoted(c)} - {num_lit(m)}) / {num_lit(s)}") for c, (m, s) in self.stats.items()}
+            {
+                c: F.lit(None).cast("double") if m is None else F.expr(f"({quoted(c)} - {num_lit(m)}) / {num_lit(s)}")
+                for c, (m, s) in self.stats.items()
+            }
         )
 
 

@@ -40,9 +40,10 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts by (column, value as text): one pass for all columns, combined before the shuffle."""
-    parts = [
-        F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("v")) for c in columns
-    ]
+    kinds = dict(df.dtypes)
+    # 0.0 and -0.0 are one value
+    value = {c: F.col(quoted(c)) + F.lit(0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(quoted(c)) for c in columns}
+    parts = [F.struct(F.lit(c).alias("column_name"), value[c].cast("string").alias("v")) for c in columns]
     return (
         df.select(F.explode(F.array(*parts)).alias("e"))
         .groupBy("e.column_name", "e.v")
@@ -168,14 +169,14 @@ def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         .where("ask > 0")
         .join(ranges, [*node, "range"])
         .groupBy("col_a", "col_b")
-        .agg(F.sum(F.col("ask") * (F.col("start") + F.col("inside"))).alias("c"))
+        .agg(F.sum(F.col("ask").cast("double") * (F.col("start") + F.col("inside"))).alias("c"))
     )
     key = ["col_a", "col_b"]
 
     def tied(by: list[str], name: str) -> DataFrame:
         sums = points.groupBy(*key, *by).agg(F.sum("w").alias("t"))
         return sums.groupBy(*key).agg(
-            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(name), F.sum("t").alias("n_" + name)
+            F.sum(F.col("t").cast("double") * (F.col("t") - 1) / 2).alias(name), F.sum("t").alias("n_" + name)
         )
 
     ties = (
@@ -184,10 +185,10 @@ def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         .join(tied(["i", "j"], "txy").drop("n_txy"), key)
         .withColumnRenamed("n_tx", "n")
     )
-    n0 = F.col("n") * (F.col("n") - 1) / 2
+    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
     discordant = n0 - F.col("tx") - F.col("ty") + F.col("txy") - F.col("c")
     spread = F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
-    tau = ties.join(concordant, key, "left").fillna(0, ["c"])
+    tau = ties.join(concordant, key, "left").fillna(0.0, ["c"])
     return tau.select(
         *key, "n", F.when(spread > 0, (F.col("c") - discordant) / spread).alias("tau_b")
     )

@@ -38,7 +38,10 @@ def scan_sniffed(spark: SparkSession, path: str, schema: T.StructType | None = N
 def scan_headerless(
     spark: SparkSession, path: str, sep: str = ",", kind: str = "double", names: list[str] | None = None
 ) -> DataFrame:
-    """No header: given names, or ``f0, f1, ...`` with the last column ``y``."""
+    """No header: given names, or ``f0, f1, ...`` with the last column ``y``.
+
+    The first line gives the width; a line with more or fewer fields is an error and loses none silently.
+    """
     if names is None:
         first = spark.read.text(path).head(1)
         if not first:
@@ -46,7 +49,7 @@ def scan_headerless(
         width = len(first[0][0].strip().split(sep))
         names = [f"f{i}" for i in range(width - 1)] + ["y"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.option("sep", sep).schema(schema).csv(path)
+    rows = spark.read.option("sep", sep).option("mode", "FAILFAST").schema(schema).csv(path)
     return cast_all(rows, kind) if kind != "string" else rows
 
 
