@@ -77,7 +77,8 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_type: str) -> DataFrame:
                     [
                         batch.column(0).slice(s.first, n),
                         pa.array(np.bincount(row, minlength=n)),
-                        pa.array(np.bincount(row, weights=ratio[bucket], minlength=n)),
+                        # without any word numpy counts in whole numbers
+                        pa.array(np.bincount(row, weights=ratio[bucket], minlength=n).astype(np.float64)),
                     ],
                     names=["doc_id", "n_features", "log_weight"],
                 )
