@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demur.functions.text import missing_to_null
+from demur.session import quoted
 
 # Delimiters tried for a file of unknown format.
 DELIMITERS = (",", ";", "\t", "|", " ")
@@ -56,13 +62,39 @@ def scan_headerless(
 def scan_header_offset(spark: SparkSession, path: str, names: list[str], skipped: int = 1, sep: str = ",") -> DataFrame:
     """The header stands below ``skipped`` other lines at the top of each file.
 
-    Files are split over tasks, so lines are recognised by content: those above the header are taken
-    from the top of one file, the header is known by its names.
+    Lines are skipped by their place: a task meets a file's lines in order, and the split that starts at
+    byte 0 holds the file's top (header included, so a split must not be shorter than that). Equal lines
+    further down are data. A header with other names and a row of another width are errors; empty lines
+    are left out.
     """
-    top = [r[0] for r in spark.read.text(path).head(skipped)]
-    lines = spark.read.text(path).where(~F.col("value").isin([*top, sep.join(names)]))
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return lines.select(F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
+    lines = spark.read.text(path).select(
+        "value",
+        F.xxhash64("_metadata.file_path").alias("file"),
+        (F.col("_metadata.file_block_start") == 0).alias("first"),
+    )
+
+    def below_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = None, 0
+        for batch in batches:
+            file, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            keep = np.ones(batch.num_rows, bool)
+            cuts = np.flatnonzero(np.append(True, file[1:] != file[:-1])) if len(file) else []
+            for start, end in zip(cuts, [*cuts[1:], len(file)]):
+                if file[start] != current:
+                    current, seen = file[start], 0
+                if first[start]:
+                    top = min(end - start, max(0, skipped + 1 - seen))
+                    keep[start : start + top] = False
+                    if top and seen + top == skipped + 1:
+                        found = next(csv.reader([batch.column(0)[start + top - 1].as_py()], delimiter=sep), [])
+                        if [c.strip() for c in found] != [c.strip() for c in names]:
+                            raise ValueError(f"a header of {path} has other names: {found}")
+                seen += end - start
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["value"])
+
+    schema = ", ".join(f"{quoted(n)} string" for n in names)
+    rows = lines.mapInArrow(below_header, "value string").where("trim(value) <> ''")
+    return rows.select(F.from_csv("value", F.lit(schema), {"sep": sep, "mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def cast_all(df: DataFrame, kind: str, columns: list[str] | None = None) -> DataFrame:

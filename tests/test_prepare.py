@@ -124,6 +124,28 @@ def test_readers(spark, tmp_path):
         scan.sink_results(df, str(tmp_path / "r"), "xml")
 
 
+def test_header_offset_goes_by_place(spark, tmp_path):
+    folder = tmp_path / "tops"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,1\nID,V\nx,1\ny,2\n\n")
+    (folder / "b.csv").write_text("junk b\nID,V\nz,3\nID,V\n")
+    (folder / "c.csv").write_text("junk c\nID,V\n")
+    rows = scan.scan_header_offset(spark, str(folder), ["ID", "V"]).collect()
+    assert sorted(tuple(r) for r in rows) == [("ID", "V"), ("x", "1"), ("y", "2"), ("z", "3")]
+    big = tmp_path / "big.csv"
+    big.write_text("top\nID,V\n" + "top,0\n" * 20_000)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert scan.scan_header_offset(spark, str(big), ["ID", "V"]).count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    for name, text in (("ragged", "t\nID,V\n1,2\n1,2,3\n"), ("other", "t\nV,ID\n1,2\n")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception):
+            scan.scan_header_offset(spark, str(tmp_path / name), ["ID", "V"]).collect()
+
+
 def test_small_table_is_bounded(spark):
     import pyarrow as pa
 
