@@ -31,7 +31,7 @@ def confusion(df: DataFrame, by: list[str] = (), y: str = "y", pred: str = "pred
 
 
 def metrics_from_confusion(
-    counts: DataFrame, by: list[str] = (), average: str = "macro", positive: int = 1
+    counts: DataFrame, by: list[str] = (), average: str = "macro", positive: object = 1
 ) -> DataFrame:
     """Accuracy, precision, recall and F1 of each key; undefined ratios are 0.
 
@@ -74,10 +74,15 @@ def average_mode(labels: list) -> str:
     return "binary" if len(labels) <= 2 else "macro"
 
 
+def positive_label(labels: list):
+    """The higher of two labels; else 1."""
+    return labels[1] if len(labels) == 2 else 1
+
+
 def metric_auto(df: DataFrame, by: list[str] = (), y: str = "y", pred: str = "pred") -> DataFrame:
     """Metrics with the average chosen from the whole y, rejected rows included."""
-    mode = average_mode(label_set(df, y))
-    return metrics_from_confusion(confusion(df, by, y, pred), by, mode)
+    labels = label_set(df, y)
+    return metrics_from_confusion(confusion(df, by, y, pred), by, average_mode(labels), positive_label(labels))
 
 
 AUROC_RANGES = 4096

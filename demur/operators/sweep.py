@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demur.functions.scores import METHODS, row_score, score_key
-from demur.operators.metrics import average_mode, metrics_from_confusion
+from demur.operators.metrics import average_mode, metrics_from_confusion, positive_label
 from demur.operators.order import Cut, before_cut, method_cuts
 
 
@@ -60,7 +60,7 @@ def _levels(
     return keyed.select(*carry, "row_id", F.explode(F.array(*each)).alias("e")).select(*carry, "row_id", "e.*")
 
 
-def _curve(levels: DataFrame, rates: list[float], by: list[str], average: str) -> DataFrame:
+def _curve(levels: DataFrame, rates: list[float], by: list[str], labels: list) -> DataFrame:
     """Metrics of every cell from counts by level."""
     cells = (
         levels.where("level > 0")
@@ -74,7 +74,7 @@ def _curve(levels: DataFrame, rates: list[float], by: list[str], average: str) -
         .agg(F.sum("n").alias("n"))
     )
     keys = [*by, "method", "j"]
-    return metrics_from_confusion(cells, keys, average).select(
+    return metrics_from_confusion(cells, keys, average_mode(labels), positive_label(labels)).select(
         *by, "method", F.element_at(rate_of, F.col("j")).alias("rate"), "accuracy", "precision", "recall", "f1"
     )
 
@@ -106,7 +106,7 @@ def sweep_rates(
     rows = decided.withColumn("_y", F.col(y)).withColumn("_pred", F.col(pred))
     levels = _levels(rows, scores, rates, kind == "pool", ["_y", "_pred"])
     levels = levels.withColumnsRenamed({"_y": "y", "_pred": "pred"})
-    return _curve(levels, rates, [], average_mode(labels))
+    return _curve(levels, rates, [], labels)
 
 
 def first_reject_rate(
@@ -137,7 +137,7 @@ def sweep_history(
     rows = decided.withColumn("_y", F.col("y")).withColumn("_pred", F.col("pred_label"))
     levels = _levels(rows, scores, full, kind == "pool", ["_y", "_pred"])
     levels = levels.withColumnsRenamed({"_y": "y", "_pred": "pred"})
-    return _curve(levels, full, [], average_mode(labels)), _first_rates(levels, full)
+    return _curve(levels, full, [], labels), _first_rates(levels, full)
 
 
 def sweep_thresholds(
@@ -163,7 +163,7 @@ def sweep_thresholds(
     levels = levels.select("y", "method", "level", F.explode("_at").alias("t")).select(
         "y", "method", "level", "t.threshold", "t.pred"
     )
-    return _curve(levels.where("pred is not null"), rates, ["threshold"], average_mode(labels))
+    return _curve(levels.where("pred is not null"), rates, ["threshold"], labels)
 
 
 def sweep_models(
@@ -188,7 +188,7 @@ def sweep_models(
     )
     levels = _levels(rows, scores, rates, True, ["y", "_preds"])
     levels = levels.select("y", "method", "level", F.col("_preds")[F.col("method")].alias("pred"))
-    curve = _curve(levels, rates, [], average_mode(labels))
+    curve = _curve(levels, rates, [], labels)
     return curve.withColumnRenamed("method", "model")
 
 

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demur.functions.fusion import RULES, decide, fuse, model_labels
 from demur.operators.des import CompetenceSelector, forest
-from demur.operators.learners import MLMember, draw_params, fit_tree
-from demur.operators.metrics import average_mode, confusion, metric_auroc, metrics_from_confusion
-from demur.operators.pool import Pool
+from demur.operators.learners import draw_params, fit_tree
+from demur.operators.metrics import average_mode, confusion, metric_auroc, metrics_from_confusion, positive_label
+from demur.operators.pool import Member, Pool
 from demur.operators.prep import Preprocessor
 from demur.operators.split import split_random, split_stratified
 from demur.session import settle
-from demur.sources.runs import Registry
+from demur.sources.runs import Registry, RunNotFound
 
 # --- study ---------------------------------------------------------------------------------
 def evaluate_study(scored: DataFrame, dataset: str, names: list[str], labels: list, sizes: list[int]) -> DataFrame:
@@ -71,7 +70,7 @@ def train_test_metrics(scored: DataFrame, labels: list, split: str = "split") ->
 
     ``scored``: ``split, y, pred``. The average follows the labels of the whole y.
     """
-    return metrics_from_confusion(confusion(scored, [split]), [split], average_mode(labels))
+    return metrics_from_confusion(confusion(scored, [split]), [split], average_mode(labels), positive_label(labels))
 
 
 def measured(member, train: DataFrame, test: DataFrame) -> dict[str, float | None]:
@@ -98,29 +97,19 @@ def measured(member, train: DataFrame, test: DataFrame) -> dict[str, float | Non
     return out
 
 
-def register(registry: Registry, experiment: str, name: str, member: MLMember, params: dict, train: DataFrame, test: DataFrame) -> str:
+def register(registry: Registry, experiment: str, name: str, member: Member, params: dict, train: DataFrame, test: DataFrame) -> str:
     """Measures a fitted member on both parts and appends its run."""
     stored = params | {"labels": ",".join(str(v) for v in member.labels)}
-    return registry.append(experiment, name, stored, measured(member, train, test), member.model)
-
-
-class Loaded(MLMember):
-    """A member read back from the registry."""
-
-    def __init__(self, run: dict, kind=int):
-        super().__init__([], lambda n: None)
-        self.model = PipelineModel.load(run["model_path"])
-        self.labels = [kind(v) for v in run["params"]["labels"].split(",")]
-        self.run = run
+    return registry.append(experiment, name, stored, measured(member, train, test), member)
 
 
 def load_or_fit(
-    registry: Registry, experiment: str, name: str, make: Callable[[], tuple[MLMember, dict]], train: DataFrame, test: DataFrame
-) -> tuple[MLMember, bool]:
+    registry: Registry, experiment: str, name: str, make: Callable[[], tuple[Member, dict]], train: DataFrame, test: DataFrame
+) -> tuple[Member, bool]:
     """The registered member, or a new one that is fitted and registered; True if it was loaded."""
     try:
-        return Loaded(registry.lookup(experiment, name)), True
-    except ValueError:
+        return registry.load_member(experiment, name), True
+    except RunNotFound:
         member, params = make()
         member.fit(train)
         register(registry, experiment, name, member, params, train, test)
@@ -133,9 +122,8 @@ def registry_migrate(
     """Copies the newest runs to a new experiment and measures every model again."""
     made = []
     for name in names:
-        member = Loaded(registry.lookup(old, name))
-        params = {k: v for k, v in member.run["params"].items() if k != "labels"}
-        made.append(register(registry, new, name, member, params, train, test))
+        params = {k: v for k, v in registry.lookup(old, name)["params"].items() if k != "labels"}
+        made.append(register(registry, new, name, registry.load_member(old, name), params, train, test))
     return made
 
 
@@ -189,13 +177,14 @@ def train_and_register(
     registry: Registry,
     experiment: str,
     data,
-    members: dict[str, Callable[[], tuple[MLMember, dict]]],
+    members: dict[str, Callable[[], tuple[Member, dict]]],
     selector: Callable[[Pool, DataFrame], CompetenceSelector] | None = None,
 ) -> tuple[Pool, CompetenceSelector | None]:
     """Pool of a prepared dataset from the registry or from new fits, then the selector on T_lambda.
 
     ``members`` gives an unfitted member and its parameters by name (found by ``search_params`` or
-    fixed); ``selector(pool, scored references)`` gives a fitted selector, whose run is measured on G.
+    fixed); ``selector(pool, scored references)`` gives a fitted selector, whose run is measured on G. A
+    stored selector is taken if its run names the same members in the same order.
     """
     train, test = settle(data.train(), "train-part"), data.part("G")
     fitted = {}
@@ -211,6 +200,11 @@ def train_and_register(
         index = (F.array_position(F.array(*[F.lit(v) for v in pool.labels]), F.col("y")) - 1).cast("int")
         return settle(pool.predict_proba(rows).select("row_id", index.alias("y"), vec, "probas"), "selector-scored")
 
+    try:
+        if registry.lookup(experiment, "Selector")["params"].get("pool") == ",".join(pool.names):
+            return pool, registry.load_member(experiment, "Selector")
+    except RunNotFound:
+        pass
     chosen = selector(pool, scored(data.part("T_lambda")))
     index_labels = list(range(len(pool.labels)))
     metrics = {}
@@ -218,6 +212,6 @@ def train_and_register(
         found = chosen.decision(chosen.competence(rows)).select("y", F.col("pred_idx").alias("pred"))
         r = metrics_from_confusion(confusion(found), (), average_mode(index_labels)).first()
         metrics |= {f"{part}_accuracy": r["accuracy"], f"{part}_precision": r["precision"], f"{part}_recall": r["recall"], f"{part}_f1_score": r["f1"]}
-    params = {"k": chosen.k, "Kp": chosen.kp, "Hc": chosen.hc, "voting": chosen.voting, "rejection_rate": 0.0}
-    registry.append(experiment, "Selector", params, metrics, None)
+    params = {"k": chosen.k, "Kp": chosen.kp, "Hc": chosen.hc, "voting": chosen.voting, "rejection_rate": 0.0, "pool": ",".join(pool.names)}
+    registry.append(experiment, "Selector", params, metrics, chosen)
     return pool, chosen

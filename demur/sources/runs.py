@@ -9,6 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demur.sources.members import load_member, save_member
+
+
+class RunNotFound(ValueError):
+    """No such experiment, or no such run in it."""
+
+
 RUN_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -64,12 +71,12 @@ class Registry:
     def append(
         self, experiment: str, run_name: str, params: dict, metrics: dict, model=None, started_at=None
     ) -> str:
-        """Saves the model and adds one run; metrics without a value are left out."""
+        """Saves the fitted member or selector and adds one run; metrics without a value are left out."""
         run_id = uuid.uuid4().hex
         path = None
         if model is not None:
             path = f"{self.path}/models/{run_id}"
-            model.write().save(path)
+            save_member(self.spark, model, path)
         row = (
             run_id,
             experiment,
@@ -87,10 +94,10 @@ class Registry:
         """The newest run; an unknown experiment or run is an error."""
         known = self.runs.where(F.col("experiment") == experiment) if self._exists() else None
         if known is None or not known.head(1):
-            raise ValueError(f"experiment {experiment!r} not found")
+            raise RunNotFound(f"experiment {experiment!r} not found")
         found = newest_run(known.where(F.col("run_name") == run_name)).head(1)
         if not found:
-            raise ValueError(f"run {run_name!r} not found in experiment {experiment!r}")
+            raise RunNotFound(f"run {run_name!r} not found in experiment {experiment!r}")
         return found[0].asDict()
 
     def load_pool(self, experiments: str | list[str], names: list[str]) -> dict[str, dict]:
@@ -101,6 +108,21 @@ class Registry:
             raise ValueError("give one experiment, or as many as there are models")
         return {n: self.lookup(e, n) for e, n in zip(experiments, names)}
 
+    def load_member(self, experiment: str, run_name: str):
+        """The fitted member or selector of the newest run; a run without one counts as not found."""
+        run = self.lookup(experiment, run_name)
+        if run["model_path"] is None:
+            raise RunNotFound(f"run {run_name!r} in experiment {experiment!r} has no stored model")
+        return load_member(self.spark, run["model_path"])
+
+    def load_members(self, experiments: str | list[str], names: list[str]) -> dict:
+        """The fitted member of every name, in order; ``Pool`` takes it as it is."""
+        if isinstance(experiments, str):
+            experiments = [experiments] * len(names)
+        if len(experiments) != len(names):
+            raise ValueError("give one experiment, or as many as there are models")
+        return {n: self.load_member(e, n) for e, n in zip(experiments, names)}
+
 
 def load_pool(runs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(found, missing)`` for a table of requests ``(experiment, run_name)``."""

@@ -10,7 +10,7 @@ from demur.operators import learners
 from demur.operators import metrics as me
 from demur.operators import neighbors as nb
 from demur.operators.bayes import QDA, GaussianNB
-from demur.operators.des import CompetenceSelector
+from demur.operators.des import CompetenceSelector, forest
 from demur.operators.pool import Pool
 from demur.plans import datasets, study
 from demur.sources.runs import Registry, experiment_name, load_pool
@@ -159,6 +159,70 @@ def test_train_register_and_load_again(spark, tmp_path):
     assert registry.lookup("moons_v7_2", "Decision_Tree")["params"] == {"depth": "4", "labels": "0,1"}
 
 
+MEMBERS = {
+    "tree": lambda: learners.fit_tree(XY, 3),
+    "sgd": lambda: learners.fit_sgd(XY, max_iter=5),
+    "logistic": lambda: learners.fit_logistic(XY, max_iter=5),
+    "knn": lambda: nb.KNN(XY, 3, "distance"),
+    "svm": lambda: learners.fit_linear_svm(XY, max_iter=5),
+    "mlp": lambda: learners.fit_mlp(XY, (4,), 5),
+    "forest": lambda: learners.fit_forest(XY, 3, 3),
+    "boosted": lambda: learners.fit_boosted(XY, 2, 2),
+    "adaboost": lambda: learners.fit_adaboost(XY, 3),
+    "bayes": lambda: GaussianNB(XY),
+    "qda": lambda: QDA(XY),
+}
+
+
+def test_every_member_is_stored_and_read_back(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "abc"[i % 3], rng.gauss(i % 3, 1), rng.gauss(-(i % 3), 1)) for i in range(90)]
+    df = spark.createDataFrame(rows, ["row_id", "y", *XY])
+    pool = Pool({n: make() for n, make in MEMBERS.items()}).fit(df)
+    registry = Registry(spark, str(tmp_path / "runs"))
+    for n in pool.names:
+        registry.append("e", n, {}, {}, pool[n])
+    again = Pool(registry.load_members("e", pool.names))
+    assert again.labels == ["a", "b", "c"] and again.names == pool.names
+    want = {r["row_id"]: r["probas"] for r in pool.predict_proba(df).collect()}
+    got = {r["row_id"]: r["probas"] for r in again.predict_proba(df).collect()}
+    assert want.keys() == got.keys() and len(got) == 90
+    for k in want:
+        for a, b in zip(want[k], got[k]):
+            assert a == pytest.approx(b, abs=1e-12)
+
+
+def test_boosted_member_with_text_labels_is_found_on_the_second_call(spark, tmp_path):
+    rows = [(i, "no" if i % 2 else "yes", float(i % 2), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, ["row_id", "y", *XY])
+    registry = Registry(spark, str(tmp_path / "runs"))
+    turns = [
+        study.load_or_fit(registry, "e", "Gradient_Boosting", lambda: (learners.fit_boosted(XY, 2, 2), {}), df, df) for _ in (1, 2)
+    ]
+    assert [loaded for _, loaded in turns] == [False, True]
+    assert turns[1][0].labels == ["no", "yes"]
+    assert registry.lookup("e", "Gradient_Boosting")["metrics"]["test_f1_score"] == 1.0
+
+
+@pytest.mark.parametrize("meta", [None, "naive_bayes", "forest"])
+def test_selector_is_stored_and_read_back(spark, tmp_path, meta):
+    rng = random.Random(5)
+    meta = forest(3, 2) if meta == "forest" else meta
+    rows = []
+    for i in range(60):
+        p, q = rng.random(), rng.random()
+        rows.append((i, i % 2, [rng.random(), rng.random()], [[p, 1 - p], [q, 1 - q]]))
+    refs = spark.createDataFrame(rows, "row_id bigint, y int, vec array<double>, probas array<array<double>>")
+    chosen = CompetenceSelector([0, 1], k=5, kp=3, meta=meta).fit(refs)
+    registry = Registry(spark, str(tmp_path / "runs"))
+    registry.append("e", "Selector", {}, {}, chosen)
+    again = registry.load_member("e", "Selector")
+    assert (again.k, again.kp, again.labels) == (5, 3, [0, 1])
+    want = {r["row_id"]: r["competences"] for r in chosen.competence(refs).collect()}
+    got = {r["row_id"]: r["competences"] for r in again.competence(refs).collect()}
+    assert want == got and len(got) == 60
+
+
 def test_study_counts_its_rows(spark):
     rng = random.Random(0)
     rows = [(i, i % 2, float(i % 2) + rng.random(), rng.choice(["a", "b", None]), None if i % 7 == 0 else rng.random()) for i in range(300)]
