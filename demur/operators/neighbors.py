@@ -465,4 +465,5 @@ class KNN:
         wide = wide.withColumn("_v", shares)
         total = "aggregate(_v, 0D, (s, x) -> s + x)"
         wide = wide.select("row_id", F.expr(f"transform(array({total}), t -> transform(_v, x -> x / t))[0]").alias(name))
-        return df.join(wide, "row_id")
+        # a row without any neighbour stays, without probabilities
+        return df.join(wide, "row_id", "left")

@@ -11,7 +11,7 @@ from demur.plans import views
 from demur.plans.oracle_parts import DOCS, EVENTS, ORDERS, SEED, VECTORS, hash_sql, prepared, with_split
 from demur.plans.registry import query
 from demur.plans.views import ORDER_FEATURES, table
-from demur.session import scratch_path
+from demur.session import scratch_path, settle
 from demur.sources import config, runs, scan, synth
 
 # --- scans: the table is written as text and read back -------------------------------------
@@ -425,7 +425,7 @@ def encode_onehot(spark, sf_dir):
 @query(f"WITH {ORDERS}, {with_split()}, m AS (SELECT median(n_lines) AS a, median(max_price) AS b FROM s WHERE split = 'T') "
        "SELECT row_id, coalesce(n_lines, a) AS n_lines, round(coalesce(max_price, b), 6) AS max_price FROM s, m")
 def impute_median(spark, sf_dir):
-    rows = split.split_four_way(views.orders_view(spark, sf_dir), SEED)
+    rows = settle(split.split_four_way(views.orders_view(spark, sf_dir), SEED), "orders-split")
     filled = prep.impute_median(rows.where("split = 'T'"), ["n_lines", "max_price"]).apply(rows)
     return filled.select("row_id", "n_lines", F.round("max_price", 6).alias("max_price"))
 
@@ -440,7 +440,7 @@ def impute_mode(spark, sf_dir):
 @query(f"WITH {ORDERS}, {with_split()}, {prepared(ORDER_FEATURES)} SELECT row_id, split, "
        + ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in ORDER_FEATURES) + " FROM z")
 def scale_columns(spark, sf_dir):
-    rows = views.split_prepared(views.orders_view(spark, sf_dir), ORDER_FEATURES)
+    rows = views.split_prepared(settle(views.orders_view(spark, sf_dir)), ORDER_FEATURES)
     return rows.select("row_id", "split", *[(F.round(f, 6) + 0.0).alias(f) for f in ORDER_FEATURES])
 
 

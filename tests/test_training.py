@@ -192,6 +192,12 @@ def test_every_member_is_stored_and_read_back(spark, tmp_path):
             assert a == pytest.approx(b, abs=1e-12)
 
 
+def test_row_without_neighbour_stays(spark):
+    one = spark.createDataFrame([(1, 0, 0.5, 0.5)], ["row_id", "y", *XY])
+    got = nb.KNN(XY, 1).fit(one).add_probability(one, "p", exclude_self=True).select("row_id", "p").collect()
+    assert [tuple(r) for r in got] == [(1, None)]
+
+
 def test_boosted_member_with_text_labels_is_found_on_the_second_call(spark, tmp_path):
     rows = [(i, "no" if i % 2 else "yes", float(i % 2), float(i % 5)) for i in range(60)]
     df = spark.createDataFrame(rows, ["row_id", "y", *XY])
