@@ -111,8 +111,8 @@ AGREE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+"
 VOCABULARY = sorted({w for t in TEMPLATES for w in t.text.split()})
-# a text without any of these has neither a phrase nor a template's key
-SIGNS = ("licen", "permi", "redistrib", "unencumb", "mozilla", "required by applicable", "gnu")
+# every phrase, and a key of every template, has one of these words (asserted below)
+SIGNS = ("license", "hereby", "applicable", "cc", "commons", "redistribution", "mozilla", "fee", "unencumbered", "identifier")
 
 
 def _list(words) -> str:
@@ -122,18 +122,18 @@ def _list(words) -> str:
 def scan_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, n_words, w, licence_words``: the words themselves only of texts that need a look.
 
-    A text needs a look if it has one of ``SIGNS`` in any spelling; without them no phrase and no key of
-    a template can be there. Null is an empty text.
+    A text needs a look if one of ``SIGNS`` is among its words; without them no phrase can be there, and
+    of every template a key is missing. Null is an empty text.
     """
     text = F.expr(f"translate(coalesce(cast(`{text_col}` as string), ''), '{UPPER}', '{LOWER}')")
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     df = df.withColumn("w", F.expr(f"regexp_extract_all(t, '{WORD}', 0)"))
-    signs = " or ".join(f"instr(t, {str_lit(s)}) > 0" for s in SIGNS)
+    licence_words = f"array_intersect({_list(VOCABULARY)}, w)"
     return df.select(
         "doc_id",
         F.expr("cast(size(w) as bigint) as n_words"),
-        F.expr(f"if({signs}, w, null) as w"),
-        F.expr(f"array_intersect({_list(VOCABULARY)}, w) as licence_words"),
+        F.expr(f"if(arrays_overlap({licence_words}, {_list(SIGNS)}), w, null) as w"),
+        F.expr(f"{licence_words} as licence_words"),
     )
 
 
@@ -255,7 +255,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 assert all(re.search(rf"\b{re.escape(k)}\b", t.text) for t in TEMPLATES for k in t.keys)
-assert all(any(s in t.text for s in SIGNS) for t in TEMPLATES)
+assert all(any(not {*SIGNS}.isdisjoint(k.split()) for k in t.keys) for t in TEMPLATES)
+assert all(not {*SIGNS}.isdisjoint(p.split()) for p, _ in BASE_PHRASES) and {*SIGNS} <= {*VOCABULARY}
 
 
 @query("op5_license_scan")

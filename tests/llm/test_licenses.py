@@ -43,6 +43,33 @@ def test_scan(spark):
     assert rows[9]["labels"] == "" and rows[9]["score"] == 0
 
 
+NO_LICEN = [
+    ("Content under CC BY-SA 4.0", "cc-by-sa-4.0"),
+    ("photos under CC BY 4.0, (c) 2020", "cc-by-4.0"),
+    ("text under CC-BY-NC-4.0", "cc-by-nc-4.0"),
+    ("Under a Creative Commons Attribution 4.0 International", "cc-by"),
+    ("use copy modify and or distribute this software for any purpose\nwith or  without fee is", "isc"),
+    (
+        "unless required by\napplicable law or agreed to in writing software distributed under the terms is distributed"
+        " on an as is basis without warranties or conditions of any kind",
+        "apache-2.0",
+    ),
+    ("the cc of a mail, by fee", ""),
+]
+
+
+def test_templates_without_the_word_license(spark):
+    # every template once, so that no indexed word is missing in the corpus
+    texts = [t for t, _ in NO_LICEN] + [t.text for t in lic.TEMPLATES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lic.scan_licenses(docs).collect()}
+    for i, (_, label) in enumerate(NO_LICEN):
+        assert rows[i]["labels"] == label, i
+        assert (rows[i]["score"] >= 0.5) == bool(label), i
+    for i, t in enumerate(lic.TEMPLATES, len(NO_LICEN)):
+        assert t.label in rows[i]["labels"].split(","), t.label
+
+
 def test_documents_and_empty_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
