@@ -84,6 +84,29 @@ def test_checksums_and_context_add_spans(rows):
     assert all(0 < f["score"] <= 1.3 for r in rows.values() for f in r["found"])
 
 
+DE, DE_TIGHT, GB = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+FOLLOWED = [
+    (f"IBAN {DE} BIC COBADEFFXXX", [DE]),
+    (f"{DE_TIGHT} EUR 50", [DE_TIGHT]),
+    (f"IBAN {DE} IBAN {GB} EUR", [DE, GB]),
+    (f"{DE_TIGHT} {DE_TIGHT} {GB}", [DE_TIGHT, DE_TIGHT, GB]),
+    (f"REF AB12 IBAN {DE} A", [DE]),
+    (f"NO9386011117947 SEK, BE68539007547034 BIC X, MT84MALT011000012345MTLCAST001S EUR", ["NO9386011117947", "BE68539007547034", "MT84MALT011000012345MTLCAST001S"]),
+    ("DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX", []),
+    (f"{DE_TIGHT}X {DE_TIGHT}1", []),
+]
+
+
+def test_account_numbers_with_capitals_behind(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FOLLOWED)], "doc_id long, text string")
+    found = {r["doc_id"]: r["found"] for r in pii.find_pii(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact_pii(docs).collect()}
+    for i, (text, want) in enumerate(FOLLOWED):
+        assert [text[f["s"] : f["e"]] for f in found[i] if f["kind"] == "iban"] == want, i
+        assert masked[i].count("[IBAN]") == len(want), i
+    assert masked[1] == "[IBAN] EUR 50"
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "x me@x.y or 10.0.0.1, 10.0.0.256 +1 (988) 555-2485.", 9), (2, None, 0)], "doc_id long, text string, __g long")
     out = {r["doc_id"]: r for r in pii.redact_pii(docs).collect()}
