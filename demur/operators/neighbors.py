@@ -37,6 +37,8 @@ MAX_CELLS = 65_536
 MAX_PIVOT_CELLS = 4_000_000
 # Pairs x dimensions that one numpy step may hold.
 STEP_CELLS = 8_000_000
+# Covariances that one aggregate computes.
+COVARIANCES = 256
 
 METRICS = ("minkowski", "cosine", "mahalanobis")
 
@@ -131,10 +133,13 @@ def metric_vector(vec: str, metric: str = "minkowski", inverse_covariance: np.nd
 
 
 def inverse_covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Inverse of the sample covariance: one aggregate, a small matrix on the driver."""
+    """Inverse of the sample covariance: an aggregate by COVARIANCES pairs, a small matrix on the driver."""
     d = len(columns)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = df.agg(*[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).first()
+    row = []
+    for at in range(0, len(pairs), COVARIANCES):
+        part = pairs[at : at + COVARIANCES]
+        row += df.agg(*[F.covar_samp(columns[i], columns[j]) for i, j in part]).first()
     cov = np.zeros((d, d))
     for (i, j), v in zip(pairs, row):
         cov[i, j] = cov[j, i] = v

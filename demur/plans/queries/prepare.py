@@ -430,6 +430,15 @@ def impute_median(spark, sf_dir):
     return filled.select("row_id", "n_lines", F.round("max_price", 6).alias("max_price"))
 
 
+@query(f"WITH {ORDERS}, {with_split()}, m AS (SELECT " + ", ".join(f"median({f}) AS {f}_md" for f in ORDER_FEATURES) + " FROM s WHERE split = 'T') "
+       "SELECT row_id, " + ", ".join(f"round(coalesce({f}, {f}_md), 6) AS {f}" for f in ORDER_FEATURES) + " FROM s, m")
+def impute_median_full(spark, sf_dir):
+    """The same for all features."""
+    rows = settle(split.split_four_way(views.orders_view(spark, sf_dir), SEED), "orders-split")
+    filled = prep.impute_median(rows.where("split = 'T'"), ORDER_FEATURES).apply(rows)
+    return filled.select("row_id", *[F.round(f, 6).alias(f) for f in ORDER_FEATURES])
+
+
 @query(f"{SENTINEL}, s AS (SELECT *, nullif(lang, 'de') AS l2 FROM v), m AS (SELECT l2 FROM s WHERE l2 IS NOT NULL GROUP BY l2 ORDER BY count(*) DESC, l2 LIMIT 1) "
        "SELECT row_id, coalesce(s.l2, m.l2) AS lang FROM s, m")
 def impute_mode(spark, sf_dir):
@@ -551,6 +560,12 @@ def table_profile(spark, sf_dir):
     return profile.table_profile(views.orders_view(spark, sf_dir), list(PROFILED))
 
 
+@query()
+def table_profile_full(spark, sf_dir):
+    """All columns; no SQL, as distinct averages depend on the order of the sums."""
+    return profile.table_profile(views.orders_view(spark, sf_dir))
+
+
 @query("""WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
 b AS (SELECT unnest(range(10)) AS bin),
 c AS (SELECT least(9, floor((l_extendedprice - lo) / ((hi - lo) / 10))) AS bin, count(*) AS n FROM lineitem, s GROUP BY 1)
@@ -593,6 +608,13 @@ def kendall_matrix(spark, sf_dir):
     return out.withColumn("tau_b", F.round("tau_b", 6) + 0.0)
 
 
+@query()
+def kendall_matrix_full(spark, sf_dir):
+    """With the price, whose values are nearly all distinct; too slow as SQL."""
+    out = profile.kendall_matrix(table(spark, sf_dir, "lineitem"), [*KENDALL, "l_extendedprice"])
+    return out.withColumn("tau_b", F.round("tau_b", 6) + 0.0)
+
+
 # --- text ----------------------------------------------------------------------------------
 LISTING = """
 v AS (SELECT p_partkey AS row_id, '$' || format('{:,.2f}', p_retailprice) AS price, p_size || '%' AS rate,

@@ -76,6 +76,15 @@ def knn_metric_mahalanobis(spark, sf_dir):
     return _flat(nb.knn_join(two, two, 7, exclude_self=True, metric="mahalanobis", vi=nb.inverse_covariance(v, ["e0", "e1"])))
 
 
+@query()
+def knn_metric_mahalanobis_full(spark, sf_dir):
+    """The same over all numbers of the vectors."""
+    v = views.vectors_view(spark, sf_dir)
+    vi = nb.inverse_covariance(v, views.VECTOR_FEATURES)
+    vec = v.select("row_id", "vec")
+    return _flat(nb.knn_join(vec, vec, 7, exclude_self=True, metric="mahalanobis", vi=vi))
+
+
 @query(f"""WITH {EMB}, n AS (SELECT q.row_id, r.y, r.row_id AS ref_id, round(list_distance(q.x, r.x), 9) AS dist FROM e q, e r WHERE q.row_id <> r.row_id)
 SELECT row_id, y, row_number() OVER (PARTITION BY row_id, y ORDER BY dist, ref_id) AS "rank", ref_id FROM n QUALIFY "rank" <= 2""")
 def knn_equal_class(spark, sf_dir):
@@ -101,6 +110,16 @@ def knn_join_orders(spark, sf_dir):
     return nb.flat(found).select("row_id", F.col("rank").cast("bigint").alias("rank"), "ref_id")
 
 
+@query(ORDER_NN.replace("(q.o_totalprice - r.o_totalprice) ** 2 + (q.max_price - r.max_price) ** 2", " + ".join(f"(q.{f} - r.{f}) ** 2" for f in ORDER_FEATURES))
+       + ' SELECT row_id, unnest(range(1, 6)) AS "rank", unnest(list_transform(l, lambda x: x.id)) AS ref_id FROM nn')
+def knn_join_orders_full(spark, sf_dir):
+    """The same by all features."""
+    rows = settle(views.split_prepared(settle(views.orders_view(spark, sf_dir)), ORDER_FEATURES))
+    v = rows.select("row_id", "split", F.array(*ORDER_FEATURES).alias("vec"))
+    found = nb.knn_join(v, v.where("split = 'T_lambda'"), 5, exclude_self=True)
+    return nb.flat(found).select("row_id", F.col("rank").cast("bigint").alias("rank"), "ref_id")
+
+
 def _knn_vote(weight):
     return f"""WITH {EMB}, {_nn("list_distance(q.x, r.x)", 7, "r.split = 'T'")},
 w AS (SELECT row_id, ref_y, {weight} AS w FROM nn),
