@@ -34,7 +34,12 @@ RULES = (
     Rule("symbols", "100 * n_symbols <= n_words", "10 * n_symbols > n_words"),
     Rule("lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repeats", "100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 30 * n_words"),
-    Rule("variety", "100 * n_distinct >= 25 * n_words or n_words > 2000", "100 * n_distinct < 10 * n_words and n_words <= 2000"),
+    # a vocabulary grows with the root of the length: from 2,000 words on, the shares go down so, without a step
+    Rule(
+        "variety",
+        "if(n_words <= 2000, 100 * n_distinct >= 25 * n_words, n_distinct * n_distinct >= 125 * n_words)",
+        "if(n_words <= 2000, 100 * n_distinct < 10 * n_words, n_distinct * n_distinct < 20 * n_words)",
+    ),
     Rule("capitals", "100 * n_capitals <= 10 * word_chars", "100 * n_capitals > 40 * word_chars"),
     Rule("marks", "100 * n_marks <= 6 * word_chars", "100 * n_marks > 9 * word_chars"),
 )

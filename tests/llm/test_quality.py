@@ -57,6 +57,17 @@ def test_counts_on_documents(spark):
         assert got == plain(texts[r["doc_id"]]), r["doc_id"]
 
 
+def test_variety_has_no_step_at_long_texts(spark):
+    variety = next(r for r in q.RULES if r.name == "variety")
+    rows = [(n, d) for n in (1000, 2000, 2001, 2100, 200000) for d in (5, 150, 300, 499, 501, 2100, 9000)]
+    cells = spark.createDataFrame(rows, "n_words long, n_distinct long").selectExpr("*", f"{variety.good} as good", f"{variety.bad} as bad")
+    out = {(r["n_words"], r["n_distinct"]): (r["good"], r["bad"]) for r in cells.collect()}
+    for d in (5, 150, 300, 499, 2100):
+        assert out[2000, d] == out[2001, d] == out[2100, d], d
+    assert out[2001, 5] == (False, True) and out[200000, 300] == (False, True)
+    assert out[200000, 2100] == (False, False) and out[200000, 9000] == (True, False)
+
+
 def test_estimate_finds_accuracies(spark):
     rng = random.Random(5)
     rules = tuple(q.Rule(f"r{i}", "true", "true") for i in range(4))
