@@ -10,5 +10,6 @@ from demur.llm import (  # noqa: F401
     pii,
     quality,
     repeats,
+    spelling,
     tokens,
 )

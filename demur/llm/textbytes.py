@@ -104,3 +104,29 @@ def words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tail[:-1] &= ~inside[1:] | head[1:]
     start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
     return start, end, np.searchsorted(s.ends, start, "right") - 1
+
+
+def runs(s: Slice, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of bytes that ``inside`` marks, and the text of each."""
+    if not len(s.data):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    head = inside.copy()
+    head[1:] &= ~inside[:-1]
+    cuts = s.ends[1:-1]
+    cuts = cuts[cuts < len(s.data)]
+    head[cuts] = inside[cuts]
+    tail = inside.copy()
+    tail[:-1] &= ~inside[1:] | head[1:]
+    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    return start, end, np.searchsorted(s.ends, start, "right") - 1
+
+
+# fixed values: bytes A-Z become a-z, all others stay
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def lowered(s: Slice) -> Slice:
+    """The slice with A-Z in lower case."""
+    return s._replace(data=LOWER[s.data])
