@@ -7,9 +7,11 @@ from demur.llm import (  # noqa: F401
     mixing,
     neighbours,
     packing,
+    periods,
     pii,
     quality,
     repeats,
     spelling,
     tokens,
+    winnow,
 )
