@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from demur.session import small_table
+from demur.session import cut_lineage, small_table
 
 # Distinct labels a classifier may have; the driver holds one entry for each.
 MAX_LABELS = 10_000
@@ -85,16 +85,15 @@ def metric_auto(df: DataFrame, by: list[str] = (), y: str = "y", pred: str = "pr
     return metrics_from_confusion(confusion(df, by, y, pred), by, average_mode(labels), positive_label(labels))
 
 
-AUROC_RANGES = 4096
-
-
 def metric_auroc(df: DataFrame, y: str = "y", score: str = "score", positive: int = 1) -> DataFrame:
     """Area under the ROC curve of a binary label; NULL unless both labels occur and are two.
 
-    Mann-Whitney with ties counted half. Rows shrink to distinct scores first; the running count of
-    negatives is local to one of ``AUROC_RANGES`` score ranges plus the total of the ranges below.
+    Mann-Whitney with ties counted half, over the rows that have a score and a label; NaN is the highest
+    score. Rows shrink to distinct scores first. Those are dealt to sampled ranges of about equal size,
+    however they are spread; the running count of negatives is local to a range plus the total of those below.
     """
     spark = df.sparkSession
+    df = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     labels = label_set(df, y)
     if len(labels) != 2 or positive not in labels:
         return small_table(spark, {"auroc": [None]}, pa.schema([("auroc", pa.float64())]))
@@ -103,11 +102,9 @@ def metric_auroc(df: DataFrame, y: str = "y", score: str = "score", positive: in
         .groupBy("s")
         .agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("q"))
     )
-    lo, hi = df.agg(F.min(F.col(score) + 0.0), F.max(F.col(score) + 0.0)).first()
-    width = (hi - lo) / AUROC_RANGES or 1.0
-    ranged = by_score.withColumn(
-        "b", F.least(F.lit(AUROC_RANGES - 1), F.floor((F.col("s") - F.lit(lo)) / F.lit(width)).cast("int"))
-    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # checkpointed, so that ranges and totals belong to one layout
+    ranged = cut_lineage(by_score.repartitionByRange(parts, "s").withColumn("b", F.spark_partition_id()))
     totals = sorted((r["b"], r["q"]) for r in ranged.groupBy("b").agg(F.sum("q").alias("q")).collect())
     starts, seen = [], 0
     for _, q in totals:

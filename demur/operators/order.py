@@ -25,6 +25,10 @@ CELLS_PER_PASS = 32_768
 DIRECT_ROWS = 100_000
 
 
+# Doubles that span more powers of two than this are cut by their logarithm, others by their value.
+OCTAVES = 4.0
+
+
 class Statistic(NamedTuple):
     value: float | int
     below: int
@@ -49,6 +53,32 @@ def group_spans(rows: DataFrame, group: str = "g", value: str = "v") -> dict[str
     return {r["g"]: (r["lo"], r["hi"], r["n"]) for r in spans.collect()}
 
 
+def _octave(v: float) -> float:
+    """Place of a double on a scale of powers of two that runs through zero; infinities and NaN at its ends."""
+    if math.isnan(v):
+        return 2101.0
+    if v == 0:
+        return 0.0
+    return math.copysign(2100.0 if math.isinf(v) else math.log2(abs(v)) + 1075.0, v)
+
+
+_OCTAVE_SQL = "if(v = 0, 0D, signum(v) * least(log2(abs(v)) + 1075, 2100D))"
+
+
+def _scale(lo: float | int, hi: float | int) -> tuple[bool, float, float]:
+    """Whether a span is cut on the other scale, and its ends there.
+
+    For doubles that is the scale of powers of two, for whole numbers their difference as doubles, which
+    cannot overflow. Either narrows a span at once to one that the plain difference cuts evenly.
+    """
+    if isinstance(lo, int):
+        wide = hi - lo >= 2**63
+        return wide, float(lo) if wide else 0.0, float(hi) if wide else float(hi - lo)
+    a, b = _octave(lo), _octave(hi)
+    wide = b - a > OCTAVES
+    return wide, a if wide else 0.0, b if wide else hi - lo
+
+
 def order_statistics(
     rows: DataFrame,
     targets: dict[str, Iterable[int]],
@@ -60,6 +90,8 @@ def order_statistics(
 
     Every pass counts the rows of each open interval in equal-width cells; the next interval is the
     span of the values really seen in the cell that holds the target, so ties end the search at once.
+    Wide intervals are cut on a scale of their own first (see ``_scale``), so a pass gains the logarithm of
+    its cells in bits whatever the values' spread. NaN is above all other doubles.
     """
     spark = rows.sparkSession
     is_long = dict(rows.dtypes)[value] == "bigint"
@@ -80,7 +112,7 @@ def order_statistics(
         open_spans = {}
         for span, ks in todo.items():
             g, lo, hi, below, n = span
-            if lo == hi:
+            if lo == hi or lo != lo:  # one value, or NaN alone
                 for k in ks:
                     found[(g, k)] = Statistic(lo, below, n)
             else:
@@ -90,6 +122,7 @@ def order_statistics(
         order = list(open_spans)
         cells = max(16, CELLS_PER_PASS // len(order))
         direct = sum(s[4] for s in order) <= DIRECT_ROWS
+        scales = [_scale(s[1], s[2]) for s in order]
         spans_df = small_table(
             spark,
             {
@@ -97,16 +130,27 @@ def order_statistics(
                 "i": list(range(len(order))),
                 "lo": [s[1] for s in order],
                 "hi": [s[2] for s in order],
-                # halves keep the width finite over the whole range of doubles
-                "width": [(s[2] / cells) - (s[1] / cells) for s in order],
+                "wide": [w for w, _, _ in scales],
+                "first": [a for _, a, _ in scales],
+                "width": [(b - a) / cells or 5e-324 for _, a, b in scales],
             },
             pa.schema(
-                [("g", pa.string()), ("i", pa.int32()), ("lo", arrow), ("hi", arrow), ("width", pa.float64())]
+                [
+                    ("g", pa.string()),
+                    ("i", pa.int32()),
+                    ("lo", arrow),
+                    ("hi", arrow),
+                    ("wide", pa.bool_()),
+                    ("first", pa.float64()),
+                    ("width", pa.float64()),
+                ]
             ),
         )
         # the intervals of a group are disjoint, so a row meets at most one of them
         hits = rows.join(F.broadcast(spans_df), "g").where("v between lo and hi")
-        cell = f"if(v = hi, {cells - 1}, cast(least({cells - 1}, floor((v - lo) / width)) as int))"
+        wide = "cast(v as double)" if is_long else _OCTAVE_SQL
+        place = f"if(wide, {wide} - first, cast(v - lo as double)) / width"
+        cell = f"if(v = hi, {cells - 1}, cast(floor(least({cells - 1}D, {place})) as int))"
         counts = (
             hits.select("i", "v", F.expr("v" if direct else cell).alias("cell"))
             .groupBy("i", "cell")
