@@ -106,7 +106,10 @@ def _binary(rows: np.ndarray, width: int) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, c, n, bands, sketch`` of every row of ``doc_id, t``: set key, size, band keys, MinHash bytes."""
+    """``doc_id, text_key, c, n, bands, sketch`` of every row of ``doc_id, text_key, t``.
+
+    ``c`` is the set's key, then come its size, band keys and MinHash bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,15 +122,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(s.first, len(n)),
+                        batch.column(1).slice(s.first, len(n)),
                         pa.array(set_keys(wide, limits).view(np.int64)),
                         pa.array(n.astype(np.int64)),
                         pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, bands.reshape(-1)),
                         _binary((mins & 0xFF).astype(np.uint8), VALUES),
                     ],
-                    names=["doc_id", "c", "n", "bands", "sketch"],
+                    names=["doc_id", "text_key", "c", "n", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, c long, n long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, c long, n long, bands array<long>, sketch binary")
 
 
 def fewest_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -272,9 +276,12 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
 
 def exact_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``root, size, c, weight, items`` for each class of ``chosen`` (``c, doc_id, root, size, weight``)."""
+    """``root, size, c, weight, items`` for each class of ``chosen`` (``c, place, root, size, weight``).
+
+    A class is read from the rows at its ``place``: an id of it, or a text's key if its rows have no id.
+    """
     # one kind of join at every size: a broadcast would grow with the near duplicates
-    texts = docs.join(chosen.hint("merge"), "doc_id")
+    texts = docs.withColumn("place", F.coalesce("doc_id", "text_key")).join(chosen.hint("merge"), "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,26 +359,29 @@ def verified(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, n_shingles, set_id`` for every row of the input.
+    """``doc_id, class_id, n_links, n_shingles, set_id, text_key, group_key`` for every row of the input.
 
     ``n_links``: other rows whose similarity with the row is 0.8 or more, rows of equal sets included.
     ``class_id``: smallest id among the rows that links connect with the row, the row itself included.
     ``set_id``: smallest id among the rows with exactly the row's set. Words are runs of other characters
     than white space, taken as they are. Texts of one to four words are one shingle. Null texts and texts
     without words have no shingle: each such row is a class of its own without links. Ids are whole numbers
-    and may repeat; other columns are not carried.
+    and may repeat or be null: rows are linked by their texts, and ``class_id`` and ``set_id`` are null only where
+    no such row has an id. ``text_key`` is the text's hash and tells rows of one id apart; ``group_key`` is the same for
+    all connected rows, null for rows without shingles. Other columns are not carried.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
     signed = stored(signatures(texts), "signatures")
     classes = stored(
         signed.where("n > 0")
         .groupBy("c")
-        .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("doc_id"), F.expr("coalesce(min(doc_id), min(text_key))").alias("place"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     found = components(candidate_edges(classes))
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    chosen = found.withColumnRenamed("node", "c").join(sizes, "root").join(classes.select("c", "doc_id", "weight"), "c")
+    chosen = found.withColumnRenamed("node", "c").join(sizes, "root").join(classes.select("c", "place", "weight"), "c")
     checked = stored(verified(exact_sets(texts, stored(chosen, "chosen"))), "checked")
     groups = components(checked.select(F.col("c").alias("a"), F.col("near").alias("b")))
     links = checked.groupBy("c").agg(F.sum("links").alias("links"))
@@ -383,16 +393,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     lowest = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     known = known.join(lowest, "root").select(
-        "c", "class_id", F.expr("coalesce(links, 0L) + weight - 1 as n_links"), F.col("doc_id").alias("set_id")
+        "c", "class_id", F.expr("coalesce(links, 0L) + weight - 1 as n_links"), F.col("doc_id").alias("set_id"), F.col("root").alias("group_key")
+    )
+    full = signed.where("n > 0").select("doc_id", "text_key", "c", F.col("n").alias("n_shingles")).join(known, "c")
+    none = signed.where("n = 0").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.expr("0L as n_links"), F.expr("0L as n_shingles"), F.col("doc_id").alias("set_id"),
+        "text_key", F.expr("cast(null as bigint) as group_key"),
     )
-    full = signed.where("n > 0").select("doc_id", "c", F.col("n").alias("n_shingles")).join(known, "c")
-    none = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.expr("0L as n_links"), F.expr("0L as n_shingles"), F.col("doc_id").alias("set_id"))
-    return full.select("doc_id", "class_id", "n_links", "n_shingles", "set_id").unionByName(none)
+    return full.select(*none.columns).unionByName(none)
 
 
 @query("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "group_key")
 
 
 assert math.gcd(ROWS, VALUES) == ROWS and STEPS[-1] == VALUES

@@ -21,13 +21,13 @@ def plain(rows):
                 if k not in seen:
                     seen.add(k)
                     todo.append(k)
-        out.append((doc_id, min(rows[k][0] for k in seen), len(near[i])))
-    return sorted(out)
+        out.append((doc_id, min((rows[k][0] for k in seen if rows[k][0] is not None), default=None), len(near[i])))
+    return sorted(out, key=repr)
 
 
 def check(spark, rows):
     docs = spark.createDataFrame([(i, t, 1, "m") for i, t in rows], "doc_id long, text string, c long, mins string")
-    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in j.near_duplicates(docs).collect())
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in j.near_duplicates(docs).collect()), key=repr)
     assert got == plain(rows)
 
 
@@ -49,6 +49,14 @@ def test_against_all_pairs(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_rows_without_id(spark):
+    a = " ".join(f"w{i}" for i in range(150))
+    near = a.replace("w149", "x")
+    alone = " ".join(f"y{i}" for i in range(40))
+    check(spark, [(None, a), (None, a), (1, near), (2, near), (None, alone), (None, alone + " z"), (None, None), (7, None)])
+    check(spark, [(4, a), (4, near), (4, alone), (None, alone), (None, "b"), (None, "b")])
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(spark, [(r["doc_id"], r["text"]) for r in docs.collect()])

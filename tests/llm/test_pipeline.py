@@ -69,8 +69,22 @@ def test_run_and_odd_rows(spark, tmp_path):
         [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (None, text, "en", "s", 1)],
         "doc_id long, text string, lang string, source string, n_chars long",
     )
+    seen = []
     for docs in (odd, odd.where("n_chars > 9")):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, sf)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
+            seen.append(docs.count())
+    # quality keeps the three rows of the long text, of which one stays
+    assert seen[:4] == [3, 1, 1, seen[3]] and seen[5:] == [0] * 5
     assert quality.MAX_RULES == 8
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, c), (None, c), (None, c), (8, b + " more"), (9, "d e"), (9, "d e"), (None, "f g"), (None, "f g"), (None, None), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(cp.STAGES)["n-gram Jaccard join"](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert got == sorted([(3, a), (5, b), (7, c), (9, "d e"), (None, "f g"), (None, None), (None, None), (4, "")], key=repr)
