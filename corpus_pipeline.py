@@ -29,14 +29,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows that share an id, one."""
-    groups = jaccard.near_duplicates(docs)
-    ids = stored(groups.where("doc_id = class_id or doc_id is null").select("doc_id"), "kept")
-    first = ids.where("doc_id is not null").distinct()
-    out = docs.join(first.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    repeated = ids.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    out = out.dropDuplicates(["doc_id"]) if repeated else out
-    return out.unionByName(docs.where("doc_id is null"))
+    """The row with the smallest id (then the smallest text hash) of each group; rows without words stay.
+
+    Rows are told apart by id and text, not by id alone; of rows that share both, one stays.
+    """
+    groups = jaccard.near_duplicates(docs).select("doc_id", "text_key", "group_key")
+    rows = stored(groups.groupBy("group_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key", "n")
+    first = rows.where("group_key is not null").groupBy("group_key").agg(F.min(order).alias("m"))
+    kept = first.select(F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key"), (F.col("m.n") > 1).alias("_more"))
+    kept = kept.unionByName(rows.where("group_key is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_more")))
+    kept = stored(kept, "kept")
+    keyed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    same = keyed["doc_id"].cast("bigint").eqNullSafe(kept["_id"]) & (keyed["_text"] == kept["_key"])
+    out = keyed.join(kept.hint("merge"), same)
+    if kept.where("_more").limit(1).count():
+        out = out.where("not _more").unionByName(out.where("_more").dropDuplicates(["_id", "_key"]))
+    return out.select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
