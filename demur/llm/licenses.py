@@ -1,12 +1,15 @@
 """License scan by a positional index of rare words.
 
-Templates are short standing passages of licences. The index holds, for every word of a template that is
-rare in the corpus, the template and the word's place in it. A file looks up its rarest licence words;
-each hit proposes ``file place - template place`` as the template's start, and a start that enough words
-agree on is a candidate. It is a finding if the template's key phrases stand where that start says.
+Templates are standing passages of licences, several for each of the common ones. Every template has key phrases
+that a finding must hold, and the index holds the rarest words of those phrases, by their frequency in all
+documents, with their places in the template. A file looks its own words up there; each hit proposes ``file
+place - template place`` as the template's start, and a start on which all of a template's indexed words
+agree is a candidate. It is a finding if the key phrases stand where that start says.
 
-The corpus counts of the licence words come from all documents. Templates and their words are fixed and
-few, so the index is a literal in the plan; everything else is by row and no row is shuffled.
+A file that holds a template's key phrases holds all of its indexed words, whichever these are. So corpus
+counts decide how few places are looked at, and never what is found: labels of a text do not depend on
+other texts. Templates are fixed and few, so the index is a literal in the plan; everything else is by row
+and no row is shuffled.
 """
 
 from __future__ import annotations
@@ -98,21 +101,106 @@ TEMPLATES = (
         "this is free and unencumbered software released into the public domain",
         ("unencumbered software released into the public domain",),
     ),
+    Template(
+        "mit",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial"
+        " portions of the software",
+        ("shall be included in all copies or substantial portions of the software",),
+    ),
+    Template(
+        "apache-2.0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at"
+        " http www apache org licenses license 2 0",
+        ("www apache org licenses license 2 0",),
+    ),
+    Template(
+        "apache-2.0",
+        "see the license for the specific language governing permissions and limitations under the license",
+        ("language governing permissions and limitations under the license",),
+    ),
+    Template(
+        "gpl-2.0",
+        "this work is licensed under the gnu general public license version 2",
+        ("gnu general public license version 2",),
+    ),
+    Template(
+        "gpl-family",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the"
+        " implied warranty of merchantability or fitness for a particular purpose see the gnu",
+        ("in the hope that it will be useful but without any warranty", "fitness for a particular purpose see the gnu"),
+    ),
+    Template(
+        "gpl-family",
+        "either version 3 of the license or at your option any later version",
+        ("of the license or at your option any later version",),
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms are permitted provided that the following conditions are met",
+        ("redistribution and use in source and binary forms are permitted",),
+    ),
+    Template(
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the"
+        " following disclaimer",
+        ("redistributions of source code must retain the above copyright notice",),
+    ),
+    Template(
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
+        " following disclaimer in the documentation and or other materials provided with the distribution",
+        ("redistributions in binary form must reproduce the above copyright notice",),
+    ),
+    Template(
+        "bsd-3-clause",
+        "contributors may be used to endorse or promote products derived from this software without specific prior"
+        " written permission",
+        ("endorse or promote products derived from this software without specific prior written permission",),
+    ),
+    Template(
+        "isc",
+        "provided that the above copyright notice and this permission notice appear in all copies the software is"
+        " provided as is and the author disclaims all warranties with regard to this software",
+        ("this permission notice appear in all copies", "disclaims all warranties with regard to this software"),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held"
+        " liable for any damages arising from the use of this software",
+        ("authors be held liable for any damages arising from the use of this software",),
+    ),
+    Template(
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"
+        " and accompanying documentation covered by this license",
+        ("person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    ),
+    Template(
+        "epl",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        ("eclipse public license",),
+    ),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights",
+        ("waived all copyright and related or neighboring rights",),
+    ),
     Template("spdx-mit", "spdx license identifier mit", ("license identifier mit",)),
     Template("spdx-apache-2.0", "spdx license identifier apache 2 0", ("identifier apache 2 0",)),
 )
 # phrases that count wherever they stand, with their labels (fixed values)
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# rarest words of a template that its index holds
-RARE_BY_TEMPLATE = 4
-# share of a template's indexed words that have to agree on its start
-AGREE = 0.5
+# rarest words of a template's key phrases that the index holds
+RARE_BY_TEMPLATE = 3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+"
-VOCABULARY = sorted({w for t in TEMPLATES for w in t.text.split()})
+VOCABULARY = sorted({w for p in (*(k for t in TEMPLATES for k in t.keys), *(p for p, _ in BASE_PHRASES)) for w in p.split()})
 # every phrase, and a key of every template, has one of these words (asserted below)
-SIGNS = ("license", "hereby", "applicable", "cc", "commons", "redistribution", "mozilla", "fee", "unencumbered", "identifier")
+SIGNS = (
+    "license", "hereby", "applicable", "cc", "commons", "redistribution", "redistributions", "mozilla", "fee", "unencumbered",
+    "identifier", "substantial", "gnu", "endorse", "disclaims", "liable", "waived",
+)
 
 
 def _list(words) -> str:
@@ -145,13 +233,20 @@ def word_weights(words: DataFrame) -> dict[str, float]:
     return {w: math.log((1 + n) / (1 + found.get(w, 0))) for w in VOCABULARY}
 
 
+def _key_places(t: Template) -> list[int]:
+    """First place of each key phrase in a template."""
+    text = t.text.split()
+    return [next(i for i in range(len(text)) if text[i : i + len(k.split())] == k.split()) for k in t.keys]
+
+
 def _index(weights: dict[str, float]) -> list[tuple[Template, list[tuple[str, int]]]]:
-    """For every template its rarest words with their places."""
+    """For every template the rarest words of its key phrases, with their places."""
     out = []
     for t in TEMPLATES:
         at: dict[str, int] = {}
-        for i, w in enumerate(t.text.split()):
-            at.setdefault(w, i)
+        for key, place in zip(t.keys, _key_places(t)):
+            for i, w in enumerate(key.split()):
+                at.setdefault(w, place + i)
         rare = sorted(at, key=lambda w: (-weights[w], w))[:RARE_BY_TEMPLATE]
         out.append((t, [(w, at[w]) for w in rare]))
     return out
@@ -170,7 +265,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``n_base`` and the two places are those of ``BASE_PHRASES`` (null where there is none). ``labels`` has
     the labels of the phrases and of the templates found, sorted; ``score`` is the best share of a found
-    template's rare words that stand in place, 0.6 for a bare phrase and 0 for nothing. ``found`` lists
+    template's words that stand in place, 0.6 at least for a bare phrase and 0 for nothing. ``found`` lists
     ``(label, start, share)``. Null and empty texts have no word; repeated rows are scanned one by one;
     other columns of the input are not carried.
     """
@@ -199,8 +294,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ),
     )
     # a start's votes are its run in the sorted list; the run's first entry stands for it
-    need = "array(" + ", ".join(str(max(1, math.ceil(AGREE * len(rare)))) for _, rare in index) + ")"
-    size = "array(" + ", ".join(str(len(rare)) for _, rare in index) + ")"
+    need = "array(" + ", ".join(str(len(rare)) for _, rare in index) + ")"
     df = df.withColumn(
         "c",
         F.expr(
@@ -213,21 +307,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the key phrases stand at the template's start plus their own place
     checks = []
     for k, (t, _) in enumerate(index):
-        text = t.text.split()
         parts = []
-        for key in t.keys:
+        for key, at in zip(t.keys, _key_places(t)):
             part = key.split()
-            at = next(i for i in range(len(text)) if text[i : i + len(part)] == part)
             parts.append(
                 f"y.s + {at} >= 0 and slice(w, greatest(y.s + {at}, 0) + 1, {len(part)}) = {_list(part)}"
             )
         checks.append(f"when {k} then " + " and ".join(parts))
     labels = _list([t.label for t, _ in index])
+    texts = "array(" + ", ".join(_list(t.text.split()) for t, _ in index) + ")"
+    share = f"size(filter({texts}[y.k], (x, i) -> get(w, y.s + i) = x)) / cast(size({texts}[y.k]) as double)"
     df = df.withColumn(
         "found",
         F.expr(
             f"if(c is null, null, transform(filter(c, y -> case y.k {' '.join(checks)} end), "
-            f"y -> named_struct('label', {labels}[y.k], 'start', y.s, 'share', cast(y.n as double) / {size}[y.k])))"
+            f"y -> named_struct('label', {labels}[y.k], 'start', y.s, 'share', {share})))"
         ),
     )
     base = "concat(" + ", ".join(f"b{k}" for k in range(len(BASE_PHRASES))) + ")"

@@ -59,7 +59,6 @@ NO_LICEN = [
 
 
 def test_templates_without_the_word_license(spark):
-    # every template once, so that no indexed word is missing in the corpus
     texts = [t for t, _ in NO_LICEN] + [t.text for t in lic.TEMPLATES]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r["doc_id"]: r for r in lic.scan_licenses(docs).collect()}
@@ -70,6 +69,43 @@ def test_templates_without_the_word_license(spark):
         assert t.label in rows[i]["labels"].split(","), t.label
 
 
+def test_labels_do_not_depend_on_other_texts(spark):
+    scan = lambda rows: {
+        r["doc_id"]: (r["labels"], r["score"], r["found"]) for r in lic.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    own = [(i, t) for i, (t, _) in enumerate(NO_LICEN)] + [(20, "Photos under a Creative Commons Attribution."), (21, TEXTS[3]), (21, TEXTS[3])]
+    others = [(100 + i, t.text) for i, t in enumerate(lic.TEMPLATES)] * 3 + [(300, "license attribution of the fee 4 0 by creative " * 9)] * 40
+    alone, beside = scan(own), scan(own + others)
+    assert alone[20][0] == "cc-by" and alone[21][0] == "apache,apache-2.0,mit"
+    assert all(alone[i][0] == label for i, (_, label) in enumerate(NO_LICEN))
+    for row in own:
+        assert scan([row])[row[0]] == alone[row[0]] == beside[row[0]]
+
+
+def test_every_template_by_plain_search(spark):
+    # whole, cut at either end, with a key word changed, and twice in one text
+    rows, want = [], []
+    for t in lic.TEMPLATES:
+        w = t.text.split()
+        first = min(lic._key_places(t))
+        last = max(p + len(k.split()) for k, p in zip(t.keys, lic._key_places(t)))
+        changed = list(w)
+        changed[first] = "zzz"
+        for text in (t.text.upper(), " ".join(w[first:last]), "x y " + " ".join(w[:last]), ", ".join(changed), f"{t.text}. {t.text}"):
+            words = re.findall("[a-z0-9]+", text.lower())
+            found = set()
+            for u in lic.TEMPLATES:
+                keys = list(zip([k.split() for k in u.keys], lic._key_places(u)))
+                if any(all(s + p >= 0 and words[s + p : s + p + len(k)] == k for k, p in keys) for s in range(-len(u.text.split()), len(words))):
+                    found.add(u.label)
+            rows.append((len(rows), text))
+            want.append(found)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: {f["label"] for f in r["found"]} for r in lic.scan_licenses(docs).collect()}
+    for i, found in enumerate(want):
+        assert got[i] == found, rows[i]
+
+
 def test_documents_and_empty_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
