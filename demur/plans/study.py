@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -104,16 +105,37 @@ def register(registry: Registry, experiment: str, name: str, member: Member, par
 
 
 def load_or_fit(
-    registry: Registry, experiment: str, name: str, make: Callable[[], tuple[Member, dict]], train: DataFrame, test: DataFrame
+    registry: Registry,
+    experiment: str,
+    name: str,
+    make: Callable[[], tuple[Member, dict]],
+    train: DataFrame,
+    test: DataFrame,
+    wait: float = 1.0,
 ) -> tuple[Member, bool]:
-    """The registered member, or a new one that is fitted and registered; True if it was loaded."""
-    try:
-        return registry.load_member(experiment, name), True
-    except RunNotFound:
-        member, params = make()
-        member.fit(train)
-        register(registry, experiment, name, member, params, train, test)
-        return member, False
+    """The registered member, or a new one that is fitted and registered; True if it was loaded.
+
+    ``make`` gives an unfitted member and its parameters, from a search (``search.searched``) or fixed. Of several
+    sessions that miss the same run one searches and fits; the others look again every ``wait`` seconds.
+    """
+    while True:
+        try:
+            return registry.load_member(experiment, name), True
+        except RunNotFound:
+            if not registry.claim(experiment, name):
+                time.sleep(wait)
+                continue
+        try:
+            try:
+                # another session may have finished between the look and the claim
+                return registry.load_member(experiment, name), True
+            except RunNotFound:
+                member, params = make()
+                member.fit(train)
+                register(registry, experiment, name, member, params, train, test)
+                return member, False
+        finally:
+            registry.release(experiment, name)
 
 
 def registry_migrate(

@@ -16,6 +16,7 @@ from demur.operators.bayes import QDA, GaussianNB
 from demur.operators.des import CompetenceSelector
 from demur.operators.learners import AdaBoost, MLMember, OneVsRest
 from demur.operators.neighbors import KNN
+from demur.operators.trees import Growth, TreeMember
 
 BY_NUMBERS = {c.__name__: c for c in (GaussianNB, QDA)}
 
@@ -28,6 +29,9 @@ def _write(member, path: str) -> dict:
     if isinstance(member, KNN):
         member.refs.write.parquet(f"{path}/refs")
         return about | {"k": member.k, "weights": member.weights, "p": member.p}
+    if isinstance(member, TreeMember):
+        member.nodes.write.parquet(f"{path}/nodes")
+        return about | {"settings": member.settings()}
     if isinstance(member, OneVsRest):
         return about | {"parts": [_write(part, f"{path}/part-{i}") for i, part in enumerate(member.parts)]}
     if isinstance(member, AdaBoost):
@@ -47,6 +51,10 @@ def _read(spark: SparkSession, about: dict, path: str):
     if kind == "KNN":
         member = KNN(about["features"], about["k"], about["weights"], about["p"])
         member.refs = spark.read.parquet(f"{path}/refs")
+    elif kind == "TreeMember":
+        settings = dict(about["settings"])
+        member = TreeMember(about["features"], Growth(**settings.pop("how")), **settings)
+        member.nodes = spark.read.parquet(f"{path}/nodes")
     elif kind == "OneVsRest":
         member = OneVsRest(about["features"], _refuse)
         member.parts = [_read(spark, a, f"{path}/part-{i}") for i, a in enumerate(about["parts"])]

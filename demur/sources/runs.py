@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import time
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +103,41 @@ class Registry:
             raise RunNotFound(f"run {run_name!r} not found in experiment {experiment!r}")
         return found[0].asDict()
 
+    def _claim_file(self, experiment: str, run_name: str):
+        """File system and path of a run's claim."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{quote(experiment, safe='')}--{quote(run_name, safe='')}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def claim(self, experiment: str, run_name: str, stale_after: float = 86_400.0) -> bool:
+        """Takes the right to make a run; only one of several sessions gets it.
+
+        The claim is a file that is created only if it is not there, in one step of the file system. A claim
+        older than ``stale_after`` seconds belongs to a session that died, and is removed first.
+        """
+        fs, path = self._claim_file(experiment, run_name)
+        if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale_after:
+            fs.delete(path, False)
+        if fs.getScheme() == "file":  # Hadoop's local files are looked for first and created then
+            local = path.toUri().getPath()
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            try:
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            fs.create(path, False).close()
+        except Exception as e:  # noqa: BLE001
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def release(self, experiment: str, run_name: str) -> None:
+        """Gives a claim back."""
+        fs, path = self._claim_file(experiment, run_name)
+        fs.delete(path, False)
+
     def load_pool(self, experiments: str | list[str], names: list[str]) -> dict[str, dict]:
         """The newest run of every name, from one experiment for all or one for each."""
         if isinstance(experiments, str):
