@@ -98,9 +98,37 @@ def fit_gaussian_nb_pool(members: list[GaussianNB], df: DataFrame, y: str = "y")
     return members
 
 
+# directions with less than this share of the largest pooled variance, of unit features, count as none
+RANK_TOLERANCE = 1e-10
+
+
+def densities(covs: np.ndarray, pooled: np.ndarray) -> list[tuple[list, float]]:
+    """Inverse and log determinant of each covariance in the directions that the pooled one spans."""
+    unit = np.sqrt(np.diag(pooled))
+    used = unit > 0
+    scale = np.where(used, unit, 1.0)
+    values, vectors = np.linalg.eigh(pooled / np.outer(scale, scale))
+    basis = vectors[:, values > RANK_TOLERANCE * max(values.max(initial=0.0), 1e-300)] / scale[:, None]
+    if not basis.shape[1]:
+        raise ValueError("no feature varies inside a class")
+    floor = VAR_SMOOTHING * values.max()
+    out = []
+    for cov in covs:
+        own, turn = np.linalg.eigh(basis.T @ cov @ basis)
+        own = np.maximum(own, floor)
+        part = basis @ turn
+        out.append(((part / own @ part.T).tolist(), float(np.log(own).sum())))
+    return out
+
+
 @dataclass
 class QDA:
-    """Quadratic discriminant: class means and sample covariances."""
+    """Quadratic discriminant: class means and sample covariances.
+
+    Features that depend on each other (pooled over the classes) span fewer directions than there are features;
+    the densities are those in these directions. In a direction in which one class alone does not vary, its
+    variance counts as ``VAR_SMOOTHING`` of the largest pooled one.
+    """
 
     features: list[str]
     labels: list = field(default_factory=list)
@@ -130,16 +158,15 @@ class QDA:
         self.labels = [r["y"] for r in rows]
         self.prior = [r["n"] / total for r in rows]
         self.mean = [[r[f"m{i}"] for i in range(d)] for r in rows]
-        self.precision, self.logdet = [], []
-        for r in rows:
-            cov = np.zeros((d, d))
+        covs = np.zeros((len(rows), d, d))
+        for k, r in enumerate(rows):
             for i, j in pairs:
-                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
-            sign, logdet = np.linalg.slogdet(cov)
-            if sign <= 0:
-                raise ValueError(f"the covariance of class {r['y']!r} is singular")
-            self.precision.append(np.linalg.inv(cov).tolist())
-            self.logdet.append(float(logdet))
+                # a single row has no covariance
+                covs[k, i, j] = covs[k, j, i] = r[f"c{i}_{j}"] or 0.0
+        weights = np.array([r["n"] - 1 for r in rows], float)
+        pooled = np.tensordot(weights, covs, 1) / max(1.0, weights.sum())
+        self.precision, self.logdet = zip(*(p for p in densities(covs, pooled)))
+        self.precision, self.logdet = list(self.precision), list(self.logdet)
         return self
 
     def log_scores(self) -> list[str]:

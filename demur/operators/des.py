@@ -141,6 +141,18 @@ def meta_features(rows: DataFrame) -> DataFrame:
     return long.select("row_id", m, *keep, F.expr(f"concat({', '.join(parts)})").alias("meta"))
 
 
+def setting_errors(settings: DataFrame) -> DataFrame:
+    """``settings`` (``hc double, kp int, k int``) with ``error``: what the selector would refuse first, else null."""
+    return settings.withColumn(
+        "error",
+        F.when(F.col("hc").isNull() | F.isnan("hc"), F.lit("hc must be a number"))
+        .when(F.col("hc") < 0.5, F.lit("hc must be at least 0.5"))
+        .when(F.col("kp").isNull(), F.lit("kp is missing"))
+        .when(F.col("kp") < 1, F.lit("kp must be at least 1"))
+        .when(F.col("k").isNull() | (F.col("k") < 1), F.lit("k must be an integer of at least 1")),
+    )
+
+
 @dataclass
 class CompetenceSelector:
     """Selector with settings; ``fit`` on references, then ``competence`` and ``predict`` on queries.
@@ -172,7 +184,7 @@ class CompetenceSelector:
         self.validate()
 
     def validate(self) -> None:
-        if isinstance(self.hc, bool) or not isinstance(self.hc, Real):
+        if isinstance(self.hc, bool) or not isinstance(self.hc, Real) or self.hc != self.hc:
             raise ValueError(f"hc must be a number, not {type(self.hc).__name__}")
         if self.hc < 0.5:
             raise ValueError(f"hc must be at least 0.5, not {self.hc}")

@@ -425,3 +425,18 @@ def des_predict_meta(spark, sf_dir):
     scored, refs, pool = _scored(spark, sf_dir)
     selector = _selector(pool, refs, meta="naive_bayes", rate=0.2, voting="hard", frienemy=True)
     return metric_auto(selector.predict(scored), ["split"])
+
+
+@query("""WITH s AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value / 50 END AS hc,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE (user_id % 6)::INTEGER END AS kp, (event_id % 5)::INTEGER AS k FROM events)
+SELECT CASE WHEN hc IS NULL OR isnan(hc) THEN 'hc must be a number' WHEN hc < 0.5 THEN 'hc must be at least 0.5'
+  WHEN kp IS NULL THEN 'kp is missing' WHEN kp < 1 THEN 'kp must be at least 1'
+  WHEN k < 1 THEN 'k must be an integer of at least 1' END AS error, count(*) AS n FROM s GROUP BY 1""")
+def des_validate(spark, sf_dir):
+    """Selector settings out of the events, by what is wrong with them."""
+    settings = views.table(spark, sf_dir, "events").select(
+        F.expr("if(event_id % 11 = 0, null, value / 50)").alias("hc"),
+        F.expr("cast(if(event_id % 7 = 0, null, user_id % 6) as int)").alias("kp"),
+        F.expr("cast(event_id % 5 as int)").alias("k"),
+    )
+    return des.setting_errors(settings).groupBy("error").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
 from demur.functions import fusion as fu
@@ -10,6 +9,7 @@ from demur.functions.arrays import argmax_index
 from demur.operators import learners
 from demur.operators import metrics as me
 from demur.operators import neighbors as nb
+from demur.operators import search, trees
 from demur.operators.bayes import QDA, GaussianNB
 from demur.operators.pool import Pool
 from demur.operators.prep import OneHot, Preprocessor
@@ -163,6 +163,12 @@ for _name, _make in (
     ("fit_forest", lambda: learners.fit_forest(ORDER_FEATURES, trees=20, depth=5)),
     ("fit_boosted", lambda: learners.fit_boosted(ORDER_FEATURES, trees=5)),
     ("fit_adaboost", lambda: learners.fit_adaboost(ORDER_FEATURES, rounds=8)),
+    ("fit_tree_deep", lambda: trees.fit_deep_tree(ORDER_FEATURES, impurity="log_loss", min_split=4)),
+    ("fit_forest_deep", lambda: trees.fit_deep_forest(ORDER_FEATURES)),
+    ("fit_extra_trees", lambda: trees.fit_extra_trees(ORDER_FEATURES)),
+    ("fit_boosted_second_order", lambda: trees.fit_second_order(ORDER_FEATURES, rounds=20)),
+    ("fit_gradient_boosting", lambda: trees.fit_gradient_boosting(ORDER_FEATURES, rounds=20)),
+    ("fit_qda_full", lambda: QDA(ORDER_FEATURES)),
 ):
 
     def _run(spark, sf_dir, make=_make):
@@ -197,14 +203,13 @@ def pool_fit(spark, sf_dir):
 
 @query()
 def search_params(spark, sf_dir):
-    """Cross-validated random draws for a tree."""
+    """Cross-validated random draws for a tree and for neighbours, as many as the training takes."""
     rows = _orders(spark, sf_dir).where("split = 'T'")
-    _, ranked = learners.search_params(
-        rows, ORDER_FEATURES, lambda n: DecisionTreeClassifier(seed=SEED), learners.SPACES["Decision_Tree"], trials=2
-    )
-    return spark.createDataFrame(
-        [(i, str(sorted(d.items())), float(s)) for i, (d, s) in enumerate(ranked)], "trial int, params string, f1 double"
-    )
+    out = []
+    for name in ("Decision_Tree", "KNN"):
+        _, ranked = search.search(rows, ORDER_FEATURES, name, trials=25, seed=SEED)
+        out += [(name, i, str(sorted(d.items())), float(s)) for i, (d, s) in enumerate(ranked)]
+    return spark.createDataFrame(out, "member string, trial int, params string, f1 double")
 
 
 def _docs(spark, sf_dir):
@@ -235,12 +240,10 @@ def load_or_fit(spark, sf_dir):
     train, test = rows.where("split = 'T'"), rows.where("split = 'G'")
     registry = Registry(spark, scratch_path(spark, "registry"))
 
-    def make():
-        return learners.fit_logistic(features, max_iter=20), {"C": 1.0}
-
+    make = search.searched(train, features, "Decision_Tree", trials=25, seed=SEED)
     out = None
     for turn in (1, 2):
-        member, loaded = study.load_or_fit(registry, "docs_v6_42", "Logistic_Regression", make, train, test)
+        member, loaded = study.load_or_fit(registry, "docs_v6_42", "Decision_Tree", make, train, test)
         part = member.add_probability(rows, "p").select(
             F.lit(turn).alias("turn"), F.lit(loaded).alias("loaded"), "row_id", F.col("p")[1].alias("p")
         )
@@ -266,11 +269,11 @@ def _library(features):
         "logreg": learners.fit_logistic(features, max_iter=50),
         "tree": learners.fit_tree(features, 8),
         "knn": nb.KNN(features, 7),
-        "rf": learners.fit_forest(features, trees=20, depth=8),
-        "extra_trees": learners.fit_forest(features, trees=20, depth=8, subset="onethird", seed=43),
-        "gradient_boosting": learners.fit_boosted(features, trees=5),
+        "rf": trees.fit_deep_forest(features, trees=300),
+        "extra_trees": trees.fit_extra_trees(features, trees=300),
+        "gradient_boosting": trees.fit_gradient_boosting(features, rounds=20),
         "naive_bayes": GaussianNB(features),
-        "qda": QDA([features[0]]),
+        "qda": QDA(features),
         "mlp": learners.fit_mlp(features, (16, 8), 30),
     }
 

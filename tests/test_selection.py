@@ -120,3 +120,16 @@ def test_equal_class_neighbourhoods(spark):
     selector = des.CompetenceSelector([0, 1], k=6, kp=2, meta=None, equal_class=True).fit(df)
     rows = selector.near(df).select(F.expr("size(filter(near, n -> n.ref_y = 0))").alias("a"), F.size("near").alias("n"))
     assert [(r["a"], r["n"]) for r in rows.distinct().collect()] == [(3, 6)]
+
+
+def test_setting_errors_are_those_of_the_selector(spark):
+    from demur.operators.des import CompetenceSelector, setting_errors
+
+    cases = [(hc, kp, k) for hc in (None, float("nan"), 0.4, 0.5, 1.0) for kp in (None, 0, 1, 5) for k in (0, 1, 7)]
+    found = setting_errors(spark.createDataFrame(cases, "hc double, kp int, k int")).collect()
+    for r in found:
+        try:
+            CompetenceSelector([0, 1], k=r["k"], kp=r["kp"], hc=r["hc"])
+            assert r["error"] is None, r
+        except (ValueError, TypeError) as e:
+            assert r["error"] is not None and str(e).startswith(r["error"]), (r, e)

@@ -248,3 +248,24 @@ def test_default_pool_weights(spark):
     pool, aside = study.default_pool(data.rows, XY, members=3, seed=1)
     assert len(pool) == 3 and aside.count() == 300
     assert accuracy(pool["bag_0"], data.rows) > 0.9
+
+
+def test_discriminant_with_dependent_features(spark):
+    import numpy as np
+
+    from demur.operators.bayes import QDA
+
+    rng = np.random.default_rng(5)
+    a, b, k = rng.normal(size=300), rng.normal(size=300), rng.integers(0, 2, 300)
+    a, b = a + k, b * (1 + k)
+    rows = [(i, float(u), float(v), float(2 * u - v), 3.0, int(c)) for i, (u, v, c) in enumerate(zip(a, b, k))]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double, d double, y int")
+    score = lambda f: [r["p"][1] for r in QDA(f).fit(df).add_probability(df, "p").orderBy("row_id").collect()]
+    # dependent and constant features add nothing
+    assert np.allclose(score(["a", "b", "c", "d"]), score(["a", "b"]), atol=1e-6)
+    density = []
+    for c in (0, 1):
+        x = np.stack([a, b])[:, k == c]
+        cov, z = np.cov(x), np.stack([a, b]) - x.mean(axis=1)[:, None]
+        density.append(np.log((k == c).mean()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("in,ij,jn->n", z, np.linalg.inv(cov), z))
+    assert np.allclose(score(["a", "b"]), 1 / (1 + np.exp(density[0] - density[1])))
