@@ -13,6 +13,7 @@ from demur.operators import search, trees
 from demur.operators.bayes import QDA, GaussianNB
 from demur.operators.pool import Pool
 from demur.operators.prep import OneHot, Preprocessor
+from demur.operators.sgd import SGD
 from demur.operators.split import split_four_way
 from demur.plans import study, views
 from demur.plans.oracle_parts import ORDERS_P, SEED, metrics_sql
@@ -168,6 +169,7 @@ for _name, _make in (
     ("fit_extra_trees", lambda: trees.fit_extra_trees(ORDER_FEATURES)),
     ("fit_boosted_second_order", lambda: trees.fit_second_order(ORDER_FEATURES, rounds=20)),
     ("fit_gradient_boosting", lambda: trees.fit_gradient_boosting(ORDER_FEATURES, rounds=20)),
+    ("fit_sgd_epochs", lambda: SGD(ORDER_FEATURES, "modified_huber", "elasticnet")),
     ("fit_qda_full", lambda: QDA(ORDER_FEATURES)),
 ):
 

@@ -14,14 +14,16 @@ from pyspark.sql import SparkSession
 
 from demur.operators.bayes import QDA, GaussianNB
 from demur.operators.des import CompetenceSelector
+from demur.operators.foreign import ForeignMember
 from demur.operators.learners import AdaBoost, MLMember, OneVsRest
 from demur.operators.neighbors import KNN
+from demur.operators.sgd import SGD
 from demur.operators.trees import Growth, TreeMember
 
-BY_NUMBERS = {c.__name__: c for c in (GaussianNB, QDA)}
+BY_NUMBERS = {c.__name__: c for c in (GaussianNB, QDA, SGD)}
 
 
-def _write(member, path: str) -> dict:
+def _write(spark: SparkSession, member, path: str) -> dict:
     about = {"kind": type(member).__name__, "labels": member.labels}
     if isinstance(member, tuple(BY_NUMBERS.values())):
         return about | asdict(member)
@@ -29,11 +31,14 @@ def _write(member, path: str) -> dict:
     if isinstance(member, KNN):
         member.refs.write.parquet(f"{path}/refs")
         return about | {"k": member.k, "weights": member.weights, "p": member.p}
+    if isinstance(member, ForeignMember):
+        spark.createDataFrame([(bytearray(member.packed()),)], "object binary").write.parquet(f"{path}/object")
+        return about | {"mark": member.mark(), "max_rows": member.max_rows}
     if isinstance(member, TreeMember):
         member.nodes.write.parquet(f"{path}/nodes")
         return about | {"settings": member.settings()}
     if isinstance(member, OneVsRest):
-        return about | {"parts": [_write(part, f"{path}/part-{i}") for i, part in enumerate(member.parts)]}
+        return about | {"parts": [_write(spark, part, f"{path}/part-{i}") for i, part in enumerate(member.parts)]}
     if isinstance(member, AdaBoost):
         stages = [member.assembler, *(stump for _, stump in member.stumps)]
         PipelineModel(stages=stages).write().save(f"{path}/model")
@@ -51,6 +56,9 @@ def _read(spark: SparkSession, about: dict, path: str):
     if kind == "KNN":
         member = KNN(about["features"], about["k"], about["weights"], about["p"])
         member.refs = spark.read.parquet(f"{path}/refs")
+    elif kind == "ForeignMember":
+        data = bytes(spark.read.parquet(f"{path}/object").first()["object"])
+        return ForeignMember.unpacked(data, about["mark"], about["features"], labels, about["max_rows"])
     elif kind == "TreeMember":
         settings = dict(about["settings"])
         member = TreeMember(about["features"], Growth(**settings.pop("how")), **settings)
@@ -102,7 +110,7 @@ def _read_selector(spark: SparkSession, about: dict, path: str) -> CompetenceSel
 
 def save_member(spark: SparkSession, member, path: str) -> None:
     """Writes a fitted member or selector below ``path``; the description comes last, so it marks a whole write."""
-    about = _write_selector(member, path) if isinstance(member, CompetenceSelector) else _write(member, path)
+    about = _write_selector(member, path) if isinstance(member, CompetenceSelector) else _write(spark, member, path)
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/about")
 
 
