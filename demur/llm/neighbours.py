@@ -158,8 +158,11 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def route(rows: DataFrame, router: Router, d: int, mass: float | None) -> DataFrame:
-    """``id, x, part``: the most probable part, or as many as reach ``mass``."""
+def route(rows: DataFrame, router: Router, d: int, mass: float | None, held: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """``id, x, part``: the most probable part, or as many as reach ``mass`` and hold ``least`` rows, two at least.
+
+    ``held``: rows by part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +174,8 @@ def route(rows: DataFrame, router: Router, d: int, mass: float | None) -> DataFr
             else:
                 order = np.argsort(-p, axis=1, kind="stable")
                 ranked = np.take_along_axis(p, order, axis=1)
-                row, place = np.nonzero(np.cumsum(ranked, axis=1) - ranked < mass)
+                rows_before = np.cumsum(held[order], axis=1) - held[order]
+                row, place = np.nonzero((np.cumsum(ranked, axis=1) - ranked < mass) | (rows_before < least) | (np.arange(len(held)) < 2))
                 part = order[row, place]
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -210,11 +214,14 @@ def search(
     parts = 1 << max(0, min(MAX_PARTS, -(-n // ROWS_BY_PART)) - 1).bit_length()
     router = fit_router(_matrix(sample.column(0).combine_chunks(), d), parts)
     filed = stored(route(rows, router, d, None), "vectors")
-    asked = stored(route(filed.where(queries).select("id", "x"), router, d, mass), "queries")
+    # a query goes on until its parts hold k rows beside its own ones
+    held = {r["part"]: r["count"] for r in filed.groupBy("part").count().collect()}
+    most = filed.groupBy("id").count().agg(F.max("count")).first()[0]
+    counts = np.array([held.get(p, 0) for p in range(router.probabilities(np.zeros((1, d))).shape[1])])
+    asked = stored(route(filed.where(queries).select("id", "x"), router, d, mass, counts, k + most), "queries")
     # one row by part: how many blocks its rows and its queries make
-    held = filed.groupBy("part").count().withColumnRenamed("count", "rows")
-    wanted = asked.groupBy("part").count().withColumnRenamed("count", "asked")
-    blocks = {r["part"]: (-(-r["rows"] // BLOCK_ROWS), -(-r["asked"] // BLOCK_QUERIES)) for r in held.join(wanted, "part").collect()}
+    wanted = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
+    blocks = {p: (-(-held[p] // BLOCK_ROWS), -(-n // BLOCK_QUERIES)) for p, n in wanted.items() if p in held}
     if not blocks:
         return spark.createDataFrame([], empty)
     plan = F.broadcast(spark.createDataFrame([(p, a, b) for p, (a, b) in blocks.items()], "part long, na long, nb long"))

@@ -51,3 +51,29 @@ def test_counts_and_pieces(spark):
             at += length
         assert at <= 2048
     assert packing.pack(docs.where("doc_id < 0"), PATH).count() == 0
+
+
+def test_assignment_is_that_of_the_cheapest_open_sequence():
+    rng = np.random.default_rng(9)
+    for capacity, size in ((50, 400), (2048, 300), (8, 200)):
+        lengths = np.sort(rng.integers(1, capacity + 1, size) ** 2 // capacity + 1)[::-1].clip(1, capacity)
+        sequence, offset = packing.assign(lengths, capacity, 1.0, 0.01)
+        room, cost = [], []
+        for n, got, at in zip(lengths.tolist(), sequence.tolist(), offset.tolist()):
+            fits = [i for i in range(len(room)) if room[i] >= n]
+            i = min(fits, key=lambda i: (cost[i], i), default=len(room))
+            if i == len(room):
+                room.append(capacity)
+                cost.append(0.0)
+            assert (got, at) == (i, capacity - room[i])
+            room[i] -= n
+            cost[i] += 1.0 * n + 0.01 * n * n
+
+
+def test_little_padding_and_repeated_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    pieces = packing.pack(docs.unionByName(docs.where("doc_id < 5")), PATH).toPandas()
+    used = pieces["length"].sum()
+    assert used >= 0.97 * 2048 * pieces["sequence_id"].nunique()
+    one = pieces[pieces["doc_id"] == 3].groupby("start").size()
+    assert (one == 2).all()
