@@ -11,6 +11,7 @@ from demur.operators import metrics as me
 from demur.operators import neighbors as nb
 from demur.operators import search, trees
 from demur.operators.bayes import QDA, GaussianNB
+from demur.operators.mlp import MLP, fit_network
 from demur.operators.pool import Pool
 from demur.operators.prep import OneHot, Preprocessor
 from demur.operators.sgd import SGD
@@ -170,6 +171,8 @@ for _name, _make in (
     ("fit_boosted_second_order", lambda: trees.fit_second_order(ORDER_FEATURES, rounds=20)),
     ("fit_gradient_boosting", lambda: trees.fit_gradient_boosting(ORDER_FEATURES, rounds=20)),
     ("fit_sgd_epochs", lambda: SGD(ORDER_FEATURES, "modified_huber", "elasticnet")),
+    ("fit_mlp_adam", lambda: fit_network(ORDER_FEATURES)),
+    ("fit_mlp_momentum", lambda: MLP(ORDER_FEATURES, [100], "tanh", "sgd", schedule="adaptive", eta0=0.01, early_stop=True, patience=20)),
     ("fit_qda_full", lambda: QDA(ORDER_FEATURES)),
 ):
 
@@ -268,15 +271,15 @@ def registry_migrate(spark, sf_dir):
 
 def _library(features):
     return {
-        "logreg": learners.fit_logistic(features, max_iter=50),
+        "logreg": learners.fit_logistic(features, max_iter=1000),
         "tree": learners.fit_tree(features, 8),
         "knn": nb.KNN(features, 7),
         "rf": trees.fit_deep_forest(features, trees=300),
         "extra_trees": trees.fit_extra_trees(features, trees=300),
-        "gradient_boosting": trees.fit_gradient_boosting(features, rounds=20),
+        "gradient_boosting": trees.fit_gradient_boosting(features, rounds=100),
         "naive_bayes": GaussianNB(features),
         "qda": QDA(features),
-        "mlp": learners.fit_mlp(features, (16, 8), 30),
+        "mlp": fit_network(features),
     }
 
 

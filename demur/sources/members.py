@@ -16,11 +16,12 @@ from demur.operators.bayes import QDA, GaussianNB
 from demur.operators.des import CompetenceSelector
 from demur.operators.foreign import ForeignMember
 from demur.operators.learners import AdaBoost, MLMember, OneVsRest
+from demur.operators.mlp import MLP
 from demur.operators.neighbors import KNN
 from demur.operators.sgd import SGD
 from demur.operators.trees import Growth, TreeMember
 
-BY_NUMBERS = {c.__name__: c for c in (GaussianNB, QDA, SGD)}
+BY_NUMBERS = {c.__name__: c for c in (GaussianNB, MLP, QDA, SGD)}
 
 
 def _write(spark: SparkSession, member, path: str) -> dict:
