@@ -232,15 +232,25 @@ class CompetenceSelector:
         alike = with_records(profile_knn_join(queries, self.refs, self.kp, exclude_self=True), self.refs, "alike")
         return self.near(queries).join(alike, "row_id")
 
+    def _cut(self, described: DataFrame) -> DataFrame:
+        """What ``described`` of a selector with at least as many neighbours gave, as this one would."""
+        return described.withColumns({"near": F.slice("near", 1, self.k), "alike": F.slice("alike", 1, self.kp)})
+
     # -- fitting
-    def fit(self, refs: DataFrame) -> CompetenceSelector:
-        """Keeps the references; fits the meta-classifier on those without full agreement."""
+    def fit(self, refs: DataFrame, described: DataFrame | None = None) -> CompetenceSelector:
+        """Keeps the references; fits the meta-classifier on those without full agreement.
+
+        ``described``: the references with the neighbours that a selector with at least this k and kp found.
+        """
         self.refs = settle(refs.select("row_id", "y", "vec", "probas"), "selector-refs")
         if self.refs.count() <= max(self.k, self.kp):
             raise ValueError("there must be more references than neighbours")
         if self.meta is None:
             return self
-        train = hit_matrix(self.described(consensus_filter(self.refs, self.hc)))
+        if described is None:
+            train = hit_matrix(self.described(consensus_filter(self.refs, self.hc)))
+        else:
+            train = hit_matrix(self._cut(consensus_filter(described, self.hc)))
         rows = meta_features(train).select(
             array_to_vector("meta").alias("features"), F.expr("hits[model]").alias("label")
         )
@@ -252,12 +262,13 @@ class CompetenceSelector:
         return self
 
     # -- prediction
-    def competence(self, queries: DataFrame) -> DataFrame:
-        """Queries with ``near`` and ``competences`` by model."""
+    def competence(self, queries: DataFrame, described: DataFrame | None = None) -> DataFrame:
+        """Queries with ``near`` and ``competences`` by model; ``described`` as in ``fit``."""
         if self.meta is None:
-            rows = self.near(queries).withColumn("competences", local_accuracy("near"))
+            near = self.near(queries) if described is None else self._cut(described).drop("alike")
+            rows = near.withColumn("competences", local_accuracy("near"))
         else:
-            described = settle(self.described(queries), "selector-queries")
+            described = settle(self.described(queries), "selector-queries") if described is None else self._cut(described)
             scored = self.model.transform(
                 meta_features(described).select("row_id", "model", array_to_vector("meta").alias("features"))
             )
@@ -292,9 +303,9 @@ class CompetenceSelector:
             rows = rows.withColumn("pred_idx", F.when(easy, neighbor_majority("near", n)).otherwise(F.col("pred_idx")))
         return rows.withColumn("pred_label", label_of("pred_idx", self.labels))
 
-    def predict(self, queries: DataFrame) -> DataFrame:
-        """Adds ``rejected`` and ``pred`` (NULL when rejected) by the lowest competences."""
-        rows = settle(self.decision(self.competence(queries)).drop("near"), "selector-decision")
+    def predict(self, queries: DataFrame, described: DataFrame | None = None) -> DataFrame:
+        """Adds ``rejected`` and ``pred`` (NULL when rejected) by the lowest competences; ``described`` as in ``fit``."""
+        rows = settle(self.decision(self.competence(queries, described)).drop("near"), "selector-decision")
         return classify(reject_low_competence(rows, self.method, self.rate))
 
 

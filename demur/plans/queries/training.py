@@ -160,11 +160,11 @@ for _name, _make in (
     ("fit_tree", lambda: learners.fit_tree(ORDER_FEATURES)),
     ("fit_logistic", lambda: learners.fit_logistic(ORDER_FEATURES)),
     ("fit_sgd", lambda: learners.fit_sgd(ORDER_FEATURES, "elasticnet")),
-    ("fit_linear_svm", lambda: learners.fit_linear_svm(ORDER_FEATURES, max_iter=10)),
+    ("fit_linear_svm", lambda: learners.fit_linear_svm(ORDER_FEATURES, max_iter=1000)),
     ("fit_mlp", lambda: learners.fit_mlp(ORDER_FEATURES, (8,), 20)),
-    ("fit_forest", lambda: learners.fit_forest(ORDER_FEATURES, trees=20, depth=5)),
+    ("fit_forest", lambda: learners.fit_forest(ORDER_FEATURES, trees=100, depth=5)),
     ("fit_boosted", lambda: learners.fit_boosted(ORDER_FEATURES, trees=5)),
-    ("fit_adaboost", lambda: learners.fit_adaboost(ORDER_FEATURES, rounds=8)),
+    ("fit_adaboost", lambda: learners.fit_adaboost(ORDER_FEATURES, rounds=50)),
     ("fit_tree_deep", lambda: trees.fit_deep_tree(ORDER_FEATURES, impurity="log_loss", min_split=4)),
     ("fit_forest_deep", lambda: trees.fit_deep_forest(ORDER_FEATURES)),
     ("fit_extra_trees", lambda: trees.fit_extra_trees(ORDER_FEATURES)),
@@ -293,7 +293,7 @@ def study_run(spark, sf_dir):
 def des_default_pool(spark, sf_dir):
     """Bagged trees; half of the rows are set aside as references."""
     rows = _orders(spark, sf_dir)
-    pool, aside = study.default_pool(rows.drop("split"), ORDER_FEATURES, members=4, seed=SEED)
+    pool, aside = study.default_pool(rows.drop("split"), ORDER_FEATURES, members=10, seed=SEED)
     scored = pool.predict(pool.predict_proba(aside).select("row_id", "y", "probas"))
     return scored.select("y", F.posexplode("preds").alias("model", "pred")).groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy")
@@ -306,7 +306,7 @@ def des_search(spark, sf_dir):
     scored, pool = views.scored_vectors(spark, sf_dir)
     scored = settle(scored, "vectors-scored")
     _, ranked = study.des_search(
-        pool, scored.where("split = 'T_lambda'"), scored.where("split = 'DSEL'"), trials=2, seed=SEED
+        pool, scored.where("split = 'T_lambda'"), scored.where("split = 'DSEL'"), trials=25, seed=SEED
     )
     return spark.createDataFrame(
         [(i, d["k"], d["kp"], d["trees"], float(s)) for i, (d, s) in enumerate(ranked)],

@@ -133,3 +133,19 @@ def test_setting_errors_are_those_of_the_selector(spark):
             assert r["error"] is None, r
         except (ValueError, TypeError) as e:
             assert r["error"] is not None and str(e).startswith(r["error"]), (r, e)
+
+
+@pytest.mark.parametrize("meta", [None, "naive_bayes"])
+def test_neighbours_of_a_wider_selector_serve_a_narrower_one(spark, meta):
+    df = scored(spark, 60)
+    wide = des.CompetenceSelector([0, 1], k=9, kp=8, meta=None).fit(df).described(df)
+    found = []
+    for described in (None, wide):
+        selector = des.CompetenceSelector([0, 1], k=5, kp=3, meta=meta).fit(df, described)
+        rows = selector.competence(df, described).select("row_id", "near", "competences").orderBy("row_id").collect()
+        pred = selector.predict(df, described).select("row_id", "pred").orderBy("row_id").collect()
+        found.append((rows, pred))
+    assert [(r["row_id"], [n["rank"] for n in r["near"]]) for r in found[0][0]] == [(r["row_id"], [n["rank"] for n in r["near"]]) for r in found[1][0]]
+    for a, b in zip(found[0][0], found[1][0]):
+        assert a["near"] == b["near"] and a["competences"] == pytest.approx(b["competences"], abs=1e-12)
+    assert found[0][1] == found[1][1]
