@@ -258,14 +258,20 @@ def load_or_fit(spark, sf_dir):
 
 @query()
 def registry_migrate(spark, sf_dir):
-    """Runs of one version, measured again under the next."""
+    """Runs of one version, five kinds of members, measured again under the next."""
     rows, features = _docs(spark, sf_dir)
     train, test = rows.where("split = 'T'"), rows.where("split = 'G'")
     registry = Registry(spark, scratch_path(spark, "registry"))
-    for name, depth in (("Decision_Tree", 3), ("Random_Forest", 4)):
-        member = learners.fit_tree(features, depth) if name == "Decision_Tree" else learners.fit_forest(features, 10, depth)
-        study.register(registry, "docs_v5_42", name, member.fit(train), {"maxDepth": depth}, train, test)
-    study.registry_migrate(registry, "docs_v5_42", "docs_v6_42", ["Decision_Tree", "Random_Forest"], train, test)
+    members = {
+        "Decision_Tree": trees.fit_deep_tree(features),
+        "SGD": SGD(features),
+        "KNN": nb.KNN(features),
+        "MLP": fit_network(features, (100,)),
+        "Random_Forest": trees.fit_deep_forest(features),
+    }
+    for name, member in members.items():
+        study.register(registry, "docs_v5_42", name, member.fit(train), {"n_features": len(features)}, train, test)
+    study.registry_migrate(registry, "docs_v5_42", "docs_v6_42", list(members), train, test)
     return _run_table(registry)
 
 
