@@ -1,11 +1,16 @@
 """Exact k-nearest-neighbour join by pivots and distance bounds.
 
-Reference vectors are filed under their nearest pivot; each pivot's cell is cut into blocks of bounded
-size. A query first searches its home cell, then only those cells that the triangle inequality does not
-exclude at the distance found so far. Query chunks and reference blocks meet in a cogrouped job, where
-numpy compares them; only the k best of each chunk leave the task, so neither side is broadcast, no
-table of pairs exists, and no group grows with the data. Copies of a vector are compared once: k
-neighbours cannot hold more than the k smallest ids of one vector.
+Reference vectors are filed under their nearest pivot. A cell of many rows gets pivots of its own, and so
+on, so the tree of cells grows with the table while every node has at most ``FANOUT`` children; below the
+first level it is a table, never held by the driver. A query first searches its home leaf, then walks down
+to those leaves that the triangle inequality does not exclude at the distance found so far. Where the
+bounds leave more than ``WIDE_SHARE`` of the rows open (many dimensions without clusters), cells only cost
+copies: such a query meets all rows in tiles as large as memory allows.
+
+Query chunks and reference blocks meet in a cogrouped job, where numpy compares them; only the k best of
+each chunk leave the task, so neither side is broadcast, no table of pairs exists, and no group grows with
+the data. Copies of a vector are compared once: k neighbours cannot hold more than the k smallest ids of
+one vector.
 
 Order of neighbours: distance rounded to 9 digits, then reference id.
 """
@@ -15,6 +20,8 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,13 +35,20 @@ from pyspark.sql import Window as W
 from demur.functions.arrays import dot
 from demur.session import num_lit, settle, small_table
 
-# Reference vectors by block, queries by chunk, and pivots.
+# Reference vectors by block and queries by chunk.
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 2048
-MAX_PIVOTS = 1024
-MAX_CELLS = 65_536
-# Doubles that the pivots may take on the driver and in each task.
-MAX_PIVOT_CELLS = 4_000_000
+# Pivots and cells of the first level of the tree, and doubles that its pivots take on the driver and in each task.
+TOP_PIVOTS = 1024
+TOP_CELLS = 65_536
+TOP_DOUBLES = 4_000_000
+# A cell of more than SPLIT_BLOCKS blocks gets up to FANOUT pivots of its own, LEVELS times at most.
+SPLIT_BLOCKS = 4
+FANOUT = 256
+LEVELS = 5
+# A query to which more than this share of the rows stays open meets all of them, in tiles of so many doubles.
+WIDE_SHARE = 0.5
+WIDE_DOUBLES = 2_000_000
 # Pairs x dimensions that one numpy step may hold.
 STEP_CELLS = 8_000_000
 # Covariances that one aggregate computes.
@@ -78,6 +92,11 @@ def _best(q: np.ndarray, r: np.ndarray, ids: list, k: int, p: float, cosine: boo
 
     ``cosine``: the vectors have unit length and the distance is 1 - cosine, half the squared one.
     """
+    step = max(1, STEP_CELLS // max(1, len(r)))
+    if len(q) > step:
+        parts = [_best(q[i : i + step], r, ids, k, p, cosine) for i in range(0, len(q), step)]
+        at = np.concatenate([x[0] + i * step for i, x in enumerate(parts)])
+        return at, np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
     rough, err = _all_distances(q, r, p)
     if len(r) > k:
         limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * err
@@ -190,6 +209,7 @@ def _join(queries, refs, groups, k, p, exclude_self, metric, vi) -> DataFrame:
         raise ValueError("p must be at least 1")
     if metric != "minkowski":
         p = 2.0
+    spark = queries.sparkSession
     keep, cosine = (k + 1 if exclude_self else k), metric == "cosine"
 
     def keyed(df, *more):
@@ -203,33 +223,35 @@ def _join(queries, refs, groups, k, p, exclude_self, metric, vi) -> DataFrame:
             "row_id", F.lit(0).alias("g"), F.array().cast("array<struct<dist:double,ref_id:bigint>>").alias("neighbors")
         )
     many = len(pivots)
-    if many > 1 or groups > 1:
+    distinct = settle(asked.groupBy("h", "vec").agg(F.min("row_id").alias("qid")), "knn-queries")
+    if many == 1 and groups == 1:
+        # few references: a single cell, nothing to exclude
+        rows = vectors.withColumn("node", F.lit(0).cast("bigint"))
+        probes = distinct.select("qid", "vec", F.lit(0).alias("g"), F.lit(0).cast("bigint").alias("node"))
+        blocks, chunks = math.ceil(vectors.count() / BLOCK_ROWS), math.ceil(distinct.count() / CHUNK_ROWS)
+        found = _search(probes, rows, (blocks, max(1, chunks)), keep, p, cosine)
+    else:
         vectors = vectors.withColumn("z", _nearest_pivot(pivots, p)("vec")).select(
-            "h", "vec", "ids", (F.col("g") * many + F.col("z.cell")).alias("cell"), F.col("z.dist").alias("dp")
+            "h", "vec", "ids", "g", (F.col("g") * many + F.col("z.cell")).alias("cell"), F.col("z.dist").alias("dp")
         )
         vectors = settle(vectors, "knn-cells")
         cells = _cell_stats(vectors, keep)
-    else:
-        # few references: a single cell, nothing to exclude
-        cells = {0: {"blocks": max(1, math.ceil(vectors.count() / BLOCK_ROWS))}}
-    distinct = settle(asked.groupBy("h", "vec").agg(F.min("row_id").alias("qid")), "knn-queries")
-    if many == 1:
-        n = distinct.count()
-        probes = distinct.select("qid", "vec", F.explode(F.array(*[F.lit(c) for c in sorted(cells)])).alias("cell"))
-        found = _search(probes, vectors, cells, many, keep, p, cosine, dict.fromkeys(cells, n))
-    else:
-        found = _search(_home_probes(distinct, pivots, cells, p), vectors, cells, many, keep, p, cosine)
-        found = settle(found, "knn-home")
+        tree = _grow(vectors, cells, p)
+        home = _descend(_home_probes(distinct, pivots, cells, p), tree, p, nearest=True)
+        found = settle(_search_leaves(home, tree, keep, p, cosine), "knn-home")
         farthest = F.sqrt(2 * F.max("dist") + 4e-9) if cosine else F.max("dist")
         reach = found.groupBy("qid", "g").agg(
             F.when(F.count(F.lit(1)) >= keep, farthest).alias("reach")
         )
         every = distinct.select("qid", "vec", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-        more = _far_probes(every.join(reach, ["qid", "g"], "left"), pivots, cells, keep, p)
-        found = found.unionByName(_search(more, vectors, cells, many, keep, p, cosine))
+        far = settle(_far_probes(every.join(reach, ["qid", "g"], "left"), pivots, cells, tree.deep, keep, p), "knn-far")
+        leaves = _descend(far.where("node >= 0"), tree, p)
+        found = found.unionByName(_search_leaves(leaves, tree, keep, p, cosine))
+        found = found.unionByName(_search_all(far.where("node < 0"), vectors, cells, many, keep, p, cosine))
     best = W.partitionBy("qid", "g").orderBy("dist", "ref_id")
-    found = found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= keep)
-    lists = found.groupBy("qid", "g").agg(F.array_sort(F.collect_list(F.struct("dist", "ref_id"))).alias("neighbors"))
+    # a leaf may have been searched twice; equal rows share their rank and are one neighbour
+    found = found.withColumn("_rn", F.dense_rank().over(best)).where(F.col("_rn") <= keep)
+    lists = found.groupBy("qid", "g").agg(F.array_sort(F.collect_set(F.struct("dist", "ref_id"))).alias("neighbors"))
 
     out = asked.join(distinct, ["h", "vec"]).select("row_id", "qid").join(lists, "qid").select("row_id", "g", "neighbors")
     if exclude_self:
@@ -245,13 +267,13 @@ def _distinct_references(known: DataFrame, keep: int) -> DataFrame:
 
 
 def _pivots(vectors: DataFrame, groups: int) -> np.ndarray:
-    """A sample of the distinct vectors in hash order; size bounded by rows, doubles and cells."""
+    """Pivots of the first level: a sample of the distinct vectors in hash order."""
     n = vectors.count()
     if n == 0:
         return np.empty((0, 0))
-    wanted = max(1, min(MAX_PIVOTS, n // BLOCK_ROWS))
+    wanted = max(1, min(TOP_PIVOTS, n // BLOCK_ROWS))
     width = len(vectors.select("vec").first()[0])
-    wanted = max(1, min(wanted, MAX_PIVOT_CELLS // max(1, width), MAX_CELLS // groups))
+    wanted = max(1, min(wanted, TOP_DOUBLES // max(1, width), TOP_CELLS // groups))
     rows = vectors.orderBy("h").limit(wanted).select("vec").collect()
     return np.array([r[0] for r in rows], dtype=float)
 
@@ -267,7 +289,7 @@ def _nearest_pivot(pivots: np.ndarray, p: float):
 
 
 def _cell_stats(vectors: DataFrame, keep: int) -> dict:
-    """By cell: vectors, blocks, nearest and farthest vector, and the ``keep`` smallest distances."""
+    """By cell: vectors, nearest and farthest vector, and the ``keep`` smallest distances."""
     stats = vectors.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("dp").alias("lo"), F.max("dp").alias("hi")
     )
@@ -281,7 +303,6 @@ def _cell_stats(vectors: DataFrame, keep: int) -> dict:
     return {
         r["cell"]: {
             "n": r["n"],
-            "blocks": max(1, math.ceil(r["n"] / BLOCK_ROWS)),
             "lo": r["lo"],
             "hi": r["hi"],
             "near": list(r["near"]),
@@ -290,9 +311,146 @@ def _cell_stats(vectors: DataFrame, keep: int) -> dict:
     }
 
 
-PROBE_SCHEMA = "qid bigint, vec array<double>, cell int"
+PROBE_SCHEMA = "qid bigint, vec array<double>, g int, node bigint, reach double"
+ROW_SCHEMA = "h bigint, vec array<double>, ids array<bigint>, node bigint, dp double"
+
+
+# --- the tree below the first level --------------------------------------------------------
+class Tree(NamedTuple):
+    """``rows``: references by leaf; ``sizes``: rows by leaf; ``levels``: the children of each level's large nodes."""
+
+    rows: DataFrame
+    sizes: DataFrame
+    levels: list[DataFrame]
+    deep: set[int]
+
+
+def _parts(n: str, rows: int) -> Column:
+    return F.ceil(F.col(n) / rows).cast("int")
+
 
+def _grow(vectors: DataFrame, cells: dict, p: float) -> Tree:
+    """Gives large cells pivots of their own until no leaf has more than SPLIT_BLOCKS blocks.
 
+    Nodes below the first level are numbered by level and path. Rows meet their node's pivots in parts of
+    bounded size, so a hot cell is spread over many tasks.
+    """
+    spark = vectors.sparkSession
+    limit = SPLIT_BLOCKS * BLOCK_ROWS
+    deep = {c for c, v in cells.items() if v["n"] > limit}
+    rows = vectors.select("h", "vec", "ids", F.col("cell").cast("bigint").alias("node"), "dp")
+    sizes = small_table(
+        spark,
+        {"node": list(cells), "n": [v["n"] for v in cells.values()]},
+        pa.schema([("node", pa.int64()), ("n", pa.int64())]),
+    )
+    leaves, leaf_sizes, levels = [], [], []
+    for level in range(1, LEVELS + 1):
+        if level > 1 and not sizes.where(F.col("n") > limit).limit(1).count() or not deep:
+            break
+        sized = rows.join(sizes, "node")
+        leaves.append(sized.where(F.col("n") <= limit).drop("n"))
+        leaf_sizes.append(sizes.where(F.col("n") <= limit))
+        large = sized.where(F.col("n") > limit)
+        first = F.row_number().over(W.partitionBy("node").orderBy("h"))
+        pivots = (
+            large.select("node", "n", "h", F.col("vec").alias("pivot"), first.alias("i"))
+            .where(F.col("i") <= FANOUT)
+            .where(F.col("i") <= F.greatest(F.lit(2), F.col("n") / BLOCK_ROWS))
+        )
+        path = F.col("node").bitwiseAND((1 << 56) - 1) * FANOUT + F.col("i") - 1
+        pivots = settle(pivots.select("node", "n", "pivot", (path + (level << 56)).alias("child")), "knn-pivots")
+        left = large.withColumn("part", F.pmod(F.xxhash64("h"), _parts("n", BLOCK_ROWS)).cast("int"))
+        left = left.select("node", "part", "h", "vec", "ids")
+        right = pivots.select(
+            "node", F.explode(F.sequence(F.lit(0), _parts("n", BLOCK_ROWS) - 1)).alias("part"), "pivot", "child"
+        )
+        rows = settle(
+            left.groupBy("node", "part").cogroup(right.groupBy("node", "part")).applyInPandas(_filer(p), ROW_SCHEMA),
+            "knn-rows",
+        )
+        sums = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("dp").alias("lo"), F.max("dp").alias("hi"))
+        nodes = pivots.select("node", "pivot", "child").join(sums.withColumnRenamed("node", "child"), "child")
+        large_child = (F.col("n") > limit) if level < LEVELS else F.lit(False)
+        nodes = settle(nodes.withColumn("large", large_child), "knn-nodes")
+        levels.append(nodes)
+        sizes = nodes.select(F.col("child").alias("node"), "n")
+    leaves.append(rows)
+    leaf_sizes.append(sizes)
+    return Tree(reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, leaf_sizes), levels, deep)
+
+
+def _filer(p: float):
+    """Files rows of one node under the nearest of its pivots."""
+
+    def run(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"h": [], "vec": [], "ids": [], "node": [], "dp": []})
+        d, _ = _all_distances(_matrix(rows["vec"]), _matrix(pivots["pivot"]), p)
+        at = d.argmin(axis=1)
+        out = rows[["h", "vec", "ids"]].copy()
+        out["node"], out["dp"] = pivots["child"].to_numpy()[at], d[np.arange(len(d)), at]
+        return out
+
+    return run
+
+
+def _descend(probes: DataFrame, tree: Tree, p: float, nearest: bool = False) -> DataFrame:
+    """Probes of leaves out of probes of first-level cells.
+
+    ``nearest``: the nearest child of each node; else all children that may hold a vector within reach.
+    """
+    if not tree.levels:
+        return probes
+    done = []
+    for level, nodes in enumerate(tree.levels):
+        if level == 0:
+            probes = settle(probes, "knn-probes")
+            inner = nodes.select("node").distinct()
+            done.append(probes.join(inner, "node", "left_anti"))
+            probes = probes.join(inner, "node", "left_semi")
+        else:
+            done.append(probes.where("not large").drop("large"))
+            probes = probes.where("large").drop("large")
+        load = probes.groupBy("node").agg(_parts_of(F.count(F.lit(1)), CHUNK_ROWS).alias("chunks"))
+        load = settle(load, "knn-load")
+        left = probes.join(load, "node").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+        right = nodes.join(load, "node").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        probes = (
+            left.select("node", "chunk", "qid", "vec", "g", "reach")
+            .groupBy("node", "chunk")
+            .cogroup(right.select("node", "chunk", "pivot", "child", "lo", "hi", "large").groupBy("node", "chunk"))
+            .applyInPandas(_walker(p, nearest), PROBE_SCHEMA + ", large boolean")
+        )
+        probes = settle(probes, "knn-probes")
+    done.append(probes.drop("large"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _parts_of(n: Column, rows: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / rows).cast("int"))
+
+
+def _walker(p: float, nearest: bool):
+    def run(q: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(nodes):
+            return pd.DataFrame({"qid": [], "vec": [], "g": [], "node": [], "reach": [], "large": []})
+        d, err = _all_distances(_matrix(q["vec"]), _matrix(nodes["pivot"]), p)
+        low = d.min(axis=1)
+        if nearest:
+            qi, ci = np.arange(len(q)), d.argmin(axis=1)
+        else:
+            lo, hi = nodes["lo"].to_numpy(), nodes["hi"].to_numpy()
+            bound = np.maximum(np.maximum(d - hi, lo - d), (d - low[:, None]) / 2)
+            qi, ci = np.nonzero(bound <= q["reach"].to_numpy(dtype=float)[:, None] + 4 * err + 1e-8)
+        out = q[["qid", "vec", "g", "reach"]].iloc[qi].copy()
+        out["node"], out["large"] = nodes["child"].to_numpy()[ci], nodes["large"].to_numpy()[ci]
+        return out[["qid", "vec", "g", "node", "reach", "large"]]
+
+    return run
+
+
+# --- probes of the first level -------------------------------------------------------------
 def _by_group(cells: dict, pivots: np.ndarray) -> dict[int, np.ndarray]:
     """Cells that hold references, by group."""
     out: dict[int, list] = {}
@@ -309,21 +467,28 @@ def _home_probes(distinct: DataFrame, pivots: np.ndarray, cells: dict, p: float)
         for b in batches:
             if len(b):
                 d, _ = _all_distances(_matrix(b["vec"]), pivots, p)
-                for cs in filled.values():
+                for g, cs in filled.items():
                     home = cs[d[:, cs % many].argmin(axis=1)]
-                    yield pd.DataFrame({"qid": b["qid"], "vec": b["vec"], "cell": home.astype(np.int32)})
+                    yield pd.DataFrame(
+                        {"qid": b["qid"], "vec": b["vec"], "g": np.int32(g), "node": home.astype(np.int64), "reach": np.nan}
+                    )
 
     return distinct.select("qid", "vec").mapInPandas(run, PROBE_SCHEMA)
 
 
-def _far_probes(asked: DataFrame, pivots: np.ndarray, cells: dict, keep: int, p: float) -> DataFrame:
-    """Cells beside the home cell that may hold a vector within reach."""
-    filled, many = _by_group(cells, pivots), len(pivots)
+def _far_probes(asked: DataFrame, pivots: np.ndarray, cells: dict, deep: set, keep: int, p: float) -> DataFrame:
+    """Cells that may hold a vector within reach, without a home cell that was searched whole.
+
+    A query to which more than WIDE_SHARE of its group's rows stays open gets one probe of node -1 - g instead.
+    """
+    filled, many, share = _by_group(cells, pivots), len(pivots), WIDE_SHARE
     bounds = {
         g: (
             np.array([cells[c]["lo"] for c in cs]),
             np.array([cells[c]["hi"] for c in cs]),
             np.array([(cells[c]["near"] + [np.inf] * keep)[:keep] for c in cs]),
+            np.array([cells[c]["n"] for c in cs]),
+            np.array([c in deep for c in cs]),
         )
         for g, cs in filled.items()
     }
@@ -333,7 +498,7 @@ def _far_probes(asked: DataFrame, pivots: np.ndarray, cells: dict, keep: int, p:
             for g, b in batch.groupby("g"):
                 if g not in filled:
                     continue
-                cs, (lo, hi, near) = filled[g], bounds[g]
+                cs, (lo, hi, near, size, split) = filled[g], bounds[g]
                 d, err = _all_distances(_matrix(b["vec"]), pivots[cs % many], p)
                 slack = 4 * err + 1e-8
                 home = d.argmin(axis=1)
@@ -343,8 +508,11 @@ def _far_probes(asked: DataFrame, pivots: np.ndarray, cells: dict, keep: int, p:
                     reach[i] = np.partition((d[i][:, None] + near).ravel(), keep - 1)[keep - 1]
                 bound = np.maximum(np.maximum(d - hi, lo - d), (d - d[np.arange(len(d)), home][:, None]) / 2)
                 ask = bound <= reach[:, None] + slack
-                ask[np.arange(len(d)), home] = False
+                ask[np.arange(len(d)), home] = split[home]
+                wide = ask @ size > share * size.sum()
+                ask[wide] = False
                 qi, ci = np.nonzero(ask)
+                qi, node = np.concatenate([qi, np.nonzero(wide)[0]]), np.concatenate([cs[ci], np.full(wide.sum(), -1 - g)])
                 step = 4096
                 for s in range(0, len(qi), step):
                     part = b.iloc[qi[s : s + step]]
@@ -352,65 +520,86 @@ def _far_probes(asked: DataFrame, pivots: np.ndarray, cells: dict, keep: int, p:
                         {
                             "qid": part["qid"].to_numpy(),
                             "vec": part["vec"].to_numpy(),
-                            "cell": cs[ci[s : s + step]].astype(np.int32),
+                            "g": np.int32(g),
+                            "node": node[s : s + step].astype(np.int64),
+                            "reach": reach[qi[s : s + step]],
                         }
                     )
 
     return asked.select("qid", "vec", "g", "reach").mapInPandas(run, PROBE_SCHEMA)
 
 
-def _search(
-    probes: DataFrame,
-    vectors: DataFrame,
-    cells: dict,
-    many: int,
-    keep: int,
-    p: float,
-    cosine: bool = False,
-    load: dict | None = None,
-) -> DataFrame:
-    """The ``keep`` best references of each probe: ``(qid, g, ref_id, dist)``. ``load``: probes by cell."""
+# --- search --------------------------------------------------------------------------------
+def _tiles(spark, sizes: dict, load: dict, block: int | None = None, chunk: int | None = None) -> DataFrame:
+    """``node, blocks, chunks`` of nodes that the driver knows; broadcast, as its size is checked."""
+    block, chunk, used = block or BLOCK_ROWS, chunk or CHUNK_ROWS, sorted(load)
+    plan = {
+        "node": used,
+        "blocks": [max(1, math.ceil(sizes[c] / block)) for c in used],
+        "chunks": [max(1, math.ceil(load[c] / chunk)) for c in used],
+    }
+    schema = pa.schema([("node", pa.int64()), ("blocks", pa.int32()), ("chunks", pa.int32())])
+    return F.broadcast(small_table(spark, plan, schema))
+
+
+def _search_leaves(probes: DataFrame, tree: Tree, keep: int, p: float, cosine: bool) -> DataFrame:
+    """Search of leaves; the plan of blocks is a table of one row by leaf."""
+    probes = settle(probes, "knn-probes")
+    load = probes.groupBy("node").agg(_parts_of(F.count(F.lit(1)), CHUNK_ROWS).alias("chunks"))
+    plan = tree.sizes.join(load, "node").select("node", _parts_of(F.col("n"), BLOCK_ROWS).alias("blocks"), "chunks")
+    return _search(probes, tree.rows, settle(plan, "knn-plan"), keep, p, cosine)
+
+
+def _search_all(probes: DataFrame, vectors: DataFrame, cells: dict, many: int, keep: int, p: float, cosine: bool) -> DataFrame:
+    """Search of all rows of a group: square tiles, as large as memory and enough tasks allow."""
     spark = probes.sparkSession
-    if load is None:
-        probes = settle(probes, "knn-probes")
-        load = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    used = sorted(load)
-    blocks = [cells[c]["blocks"] for c in used]
-    chunks = [max(1, math.ceil(load[c] / CHUNK_ROWS)) for c in used]
+    load = {r["node"]: r["n"] for r in probes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not load:
+        return probes.selectExpr("qid", "g", "cast(null as bigint) as ref_id", "reach as dist").where("false")
+    sizes: dict[int, int] = {}
+    for c, v in cells.items():
+        sizes[-1 - c // many] = sizes.get(-1 - c // many, 0) + v["n"]
+    width = len(probes.select("vec").first()[0])
+    pairs = sum(sizes[node] * load[node] for node in load)
+    even = math.isqrt(pairs // (4 * spark.sparkContext.defaultParallelism))
+    side = max(BLOCK_ROWS, min(WIDE_DOUBLES // max(1, width), even))
+    rows = vectors.withColumn("node", (-1 - F.col("g")).cast("bigint"))
+    return _search(probes, rows, _tiles(spark, sizes, load, side, side), keep, p, cosine)
+
+
+def _search(probes: DataFrame, rows: DataFrame, plan, keep: int, p: float, cosine: bool) -> DataFrame:
+    """The ``keep`` best references of each probe: ``(qid, g, ref_id, dist)``.
+
+    ``plan``: blocks and chunks by node, or two numbers where there is one node.
+    """
+    key = ["node", "block", "chunk"]
 
     def planned(df: DataFrame) -> DataFrame:
-        if used == [0] and "cell" not in vectors.columns:
-            return df.withColumns({"cell": F.lit(0), "blocks": F.lit(blocks[0]), "chunks": F.lit(chunks[0])})
-        plan = small_table(
-            spark,
-            {"cell": used, "blocks": blocks, "chunks": chunks},
-            pa.schema([("cell", pa.int32()), ("blocks", pa.int32()), ("chunks", pa.int32())]),
-        )
-        return df.join(F.broadcast(plan), "cell")
+        if isinstance(plan, tuple):
+            return df.withColumns({"blocks": F.lit(plan[0]), "chunks": F.lit(plan[1])})
+        return df.join(plan, "node")
 
-    key = ["cell", "block", "chunk"]
-    # every chunk of a cell's queries meets every block of its references; both are of bounded size
+    # every chunk of a node's queries meets every block of its references; both are of bounded size
     left = (
         planned(probes)
         .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*key, "qid", "vec")
+        .select(*key, "qid", "g", "vec")
     )
     right = (
-        planned(vectors)
+        planned(rows)
         .withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(*key, F.col("vec").alias("rvec"), "ids")
     )
 
-    def compare(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"qid": [], "g": [], "ref_id": [], "dist": []}).astype(
                 {"qid": np.int64, "g": np.int32, "ref_id": np.int64, "dist": float}
             )
         at, rid, dist = _best(_matrix(q["vec"]), _matrix(r["rvec"]), list(r["ids"]), keep, p, cosine)
-        group = np.int32(key[0] // many)
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[at], "g": group, "ref_id": rid, "dist": dist})
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[at], "g": q["g"].to_numpy()[at], "ref_id": rid, "dist": dist})
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
         compare, "qid bigint, g int, ref_id bigint, dist double"

@@ -63,9 +63,60 @@ def test_far_cells_are_left_out(spark, monkeypatch):
     plain = nb._search
     monkeypatch.setattr(nb, "_search", lambda probes, *a, **k: asked.append(probes) or plain(probes, *a, **k))
     nb.knn_join(frame(spark, r), frame(spark, r), 3, exclude_self=True).collect()
-    far = asked[1].select(F.col("vec")[0].alias("x"), "cell").collect()
-    side = {c: x > 500 for x, c in ((h["x"], h["cell"]) for h in asked[0].select(F.col("vec")[0].alias("x"), "cell").collect())}
-    assert all(side[f["cell"]] == (f["x"] > 500) for f in far if f["cell"] in side)
+    far = asked[1].select(F.col("vec")[0].alias("x"), "node").collect()
+    side = {c: x > 500 for x, c in ((h["x"], h["node"]) for h in asked[0].select(F.col("vec")[0].alias("x"), "node").collect())}
+    assert all(side[f["node"]] == (f["x"] > 500) for f in far if f["node"] in side)
+    assert not asked[2:]  # nobody needs all rows
+
+
+def small_tree(monkeypatch, share):
+    """Three cells at the top, at most four children, so that a few hundred rows need several levels."""
+    for name, value in {"BLOCK_ROWS": 10, "CHUNK_ROWS": 25, "TOP_PIVOTS": 3, "FANOUT": 4, "SPLIT_BLOCKS": 2, "WIDE_SHARE": share}.items():
+        monkeypatch.setattr(nb, name, value)
+
+
+@pytest.mark.parametrize("share,p,own", [(2.0, 1, False), (0.3, 2, True), (0.0, 2, True)])
+def test_levels_grow_and_stay_exact(spark, monkeypatch, share, p, own):
+    """Share 2: every query walks down the tree; share 0: every query meets all rows."""
+    small_tree(monkeypatch, share)
+    trees = []
+    plain = nb._grow
+    monkeypatch.setattr(nb, "_grow", lambda *a: trees.append(plain(*a)) or trees[-1])
+    r = vectors(320, 3, 7)
+    q = r if own else vectors(120, 3, 8)
+    got = ids(nb.knn_join(frame(spark, q), frame(spark, r), 6, p, exclude_self=own))
+    assert got == brute(q, r, 6, minkowski(p), own)
+    assert len(trees[0].levels) >= 2
+    distinct = len(np.unique(r, axis=0))
+    assert trees[0].rows.count() == distinct == trees[0].sizes.agg(F.sum("n")).first()[0]
+
+
+def test_levels_by_class(spark, monkeypatch):
+    small_tree(monkeypatch, 2.0)
+    r = vectors(200, 2, 9)
+    df = frame(spark, r).withColumn("y", (F.col("row_id") % 2).cast("int"))
+    for row in nb.knn_equal_class(df, df, 3, [0, 1], exclude_self=True).collect():
+        of_class = [j for j in range(200) if j % 2 == row["y"] and j != row["row_id"]]
+        d = np.round([np.linalg.norm(r[row["row_id"]] - r[j]) for j in of_class], 9)
+        assert [n["ref_id"] for n in row["neighbors"]] == [j for _, j in sorted(zip(d, of_class))][:3]
+
+
+def test_clusters_in_many_dimensions_are_left_out(spark, monkeypatch):
+    """64 dimensions in 40 clusters: fewer than half of the pairs are compared."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=(40, 64))
+    r = centre[np.arange(800) % 40] + 0.05 * rng.normal(size=(800, 64))
+    searched = []
+    search = nb._search
+    monkeypatch.setattr(nb, "_search", lambda probes, rows, *a: searched.append((probes, rows)) or search(probes, rows, *a))
+    got = ids(nb.knn_join(frame(spark, r), frame(spark, r), 5, exclude_self=True))
+    assert got == brute(r, r, 5, minkowski(2), True)
+    pairs = sum(
+        p.groupBy("node").count().withColumnRenamed("count", "a").join(v.groupBy("node").count(), "node").agg(F.sum(F.col("a") * F.col("count"))).first()[0] or 0
+        for p, v in searched
+    )
+    assert pairs < 0.5 * 800 * 800
 
 
 def test_fewer_references_than_k(spark):
