@@ -1,5 +1,7 @@
 """The neighbour join against brute force, with copies, ties and small blocks."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,66 @@ def test_plan_has_no_cross_join(spark):
     df = frame(spark, vectors(60, 2, 0))
     plan = nb.knn_join(df, df, 3)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("p", [1, 1.5, 2, 3])
+def test_blocks_meet_in_little_memory(p):
+    """Rows far from zero, many references: as brute force, and no step holds all distances."""
+    rng = np.random.default_rng(6)
+    r = rng.normal(size=(9000, 24)) + 50
+    r[4000:4100] = r[0]
+    q, counts = r[:700], np.where(np.arange(9000) % 7 == 0, 2, 1)
+    flat = np.arange(counts.sum())
+    tracemalloc.start()
+    at, ref, dist = nb._best(q, r, counts, flat, 5, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    owner = np.repeat(np.arange(9000), counts)
+    for i in (0, 1, 699):
+        d = np.round((np.abs(r - q[i]) ** p).sum(axis=1) ** (1 / p), 9)[owner]
+        want = np.lexsort((flat, d))[:5]
+        assert ref[at == i].tolist() == want.tolist() and np.allclose(dist[at == i], d[want], atol=2e-9)
+
+
+def test_reach_cuts_what_a_query_needs():
+    r = np.random.default_rng(7).normal(size=(500, 3))
+    one = np.ones(500, np.int64)
+    at, ref, dist = nb._best(r[:50], r, one, np.arange(500), 5, 2)
+    fifth = np.array([dist[at == i].max() for i in range(50)])
+    for p in (2, 3, 1):
+        full = nb._best(r[:50], r, one, np.arange(500), 5, p)
+        reach = np.array([full[2][full[0] == i].max() for i in range(50)])
+        again = nb._best(r[:50], r, one, np.arange(500), 5, p, False, reach)
+        assert all(np.array_equal(a, b) for a, b in zip(full, again))
+    none = nb._best(r[:50], r + 100, one, np.arange(500), 5, 2, False, fifth)
+    assert not len(none[0])
+
+
+def test_pivots_meet_rows_by_steps(spark, monkeypatch):
+    """No task compares a whole batch of rows with all pivots at once."""
+    for name, value in {"BLOCK_ROWS": 10, "CHUNK_ROWS": 10, "STEP_CELLS": 400}.items():
+        monkeypatch.setattr(nb, name, value)
+    plain = nb._all_distances
+
+    def small(q, r, p):
+        if len(q) * len(r) > 400:
+            raise ValueError(f"{len(q)} x {len(r)} at once")
+        return plain(q, r, p)
+
+    monkeypatch.setattr(nb, "_all_distances", small)
+    monkeypatch.setattr(nb, "STEP_QUERIES", 10)
+    x = vectors(300, 3, 8)
+    assert ids(nb.knn_join(frame(spark, x), frame(spark, x), 4, exclude_self=True)) == brute(x, x, 4, minkowski(2), True)
+
+
+def test_wide_tiles_count_rows_not_numbers_alone(spark, monkeypatch):
+    """Two numbers a row do not make a tile of a million rows."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(nb, "WIDE_DOUBLES", 600)
+    monkeypatch.setattr(nb, "WIDE_SHARE", 0.0)
+    sides, plain = [], nb._tiles
+    monkeypatch.setattr(nb, "_tiles", lambda s, sizes, load, *a: sides.extend(a) or plain(s, sizes, load, *a))
+    x = vectors(2000, 2, 9)
+    assert ids(nb.knn_join(frame(spark, x), frame(spark, x), 3, exclude_self=True)) == brute(x, x, 3, minkowski(2), True)
+    assert sides and max(sides) <= 600 // (2 + 4)
