@@ -102,7 +102,7 @@ def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Kendall tau-b of all column pairs; rows with a null in any of the columns are removed.
 
     Concordant pairs are counted without making pairs. Rows shrink to distinct (x, y) with weights;
-    ranks replace x. Each point is filed under the log2 nodes of a Fenwick tree over x and asks the
+    ranks replace x, the column of fewer values. Each point is filed under the log2 nodes of a Fenwick tree over x and asks the
     log2 nodes below its own x for the weight of smaller y. In a node that is a running sum by y, cut
     into ranges of y plus the totals of the lower ranges, so no task holds a whole node.
     """
@@ -131,10 +131,16 @@ def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         .join(ranks.select(F.col("c").alias("col_b"), F.col("v").alias("y"), F.col("r").alias("j")), ["col_b", "y"])
         .select("col_a", "col_b", "i", "j", "w")
     )
+    # the tree stands over the column of fewer values, and is no higher than that column needs
+    most = {r["c"]: r["r"] for r in ranks.groupBy("c").agg(F.max("r").alias("r")).collect()}
+    turned, bits = F.lit(False), F.lit(1)
+    for a, b in pairs:
+        own = (F.col("col_a") == a) & (F.col("col_b") == b)
+        turned = turned | (own & F.lit(most.get(a, 0) > most.get(b, 0)))
+        bits = F.when(own, max(1, int(min(most.get(a, 1), most.get(b, 1))).bit_length())).otherwise(bits)
+    points = points.withColumns({"i": F.when(turned, F.col("j")).otherwise(F.col("i")), "j": F.when(turned, F.col("i")).otherwise(F.col("j"))})
     points = settle(points, "kendall")
-    top = ranks.agg(F.max("r")).first()[0] or 1
-    bits = max(1, int(top).bit_length())
-    levels = F.sequence(F.lit(0), F.lit(bits))
+    levels = F.sequence(F.lit(0), bits)
     # node (level, index) covers the x ranks with the same i >> level; a point asks for the left
     # sibling wherever its own node is a right child, and these siblings make up all smaller ranks
     filed = F.transform(

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,17 @@ def test_classes_of_any_type_and_missing_ones(spark, kind):
 def test_split_of_nothing(spark):
     df = spark.createDataFrame([], "row_id bigint, y int")
     assert sp.split_stratified(df, 0.5, 1).count() == 0
+
+
+def test_kendall_tree_stands_over_the_smaller_column(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.normal()), float(rng.integers(0, 3)), float(rng.normal())) for _ in range(200)]
+    seen, settle = [], profile.settle
+    monkeypatch.setattr(profile, "settle", lambda d, name="table": seen.append(settle(d, name)) or seen[-1])
+    out = {(r["col_a"], r["col_b"]): r["tau_b"] for r in profile.kendall_matrix(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    assert seen[0].where("col_a = 'a' and col_b = 'b'").agg(F.max("i")).first()[0] == 3
+    d = np.array(rows)
+    s = np.sign(d[:, None, :] - d[None, :, :])
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        want = (s[..., i] * s[..., j]).sum() / np.sqrt((s[..., i] ** 2).sum() * (s[..., j] ** 2).sum())
+        assert abs(out["abc"[i], "abc"[j]] - want) < 1e-9
