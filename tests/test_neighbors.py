@@ -121,6 +121,22 @@ def test_clusters_in_many_dimensions_are_left_out(spark, monkeypatch):
     assert pairs < 0.5 * 800 * 800
 
 
+def test_bisectors_leave_out_cells_in_few_dimensions(spark, monkeypatch):
+    """Six even dimensions: 0.51 of the pairs are compared; the triangle inequality alone left 0.77 of them."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 20)
+    r = np.random.default_rng(11).random((1600, 6))
+    searched = []
+    search = nb._search
+    monkeypatch.setattr(nb, "_search", lambda probes, rows, *a: searched.append((probes, rows)) or search(probes, rows, *a))
+    got = ids(nb.knn_join(frame(spark, r), frame(spark, r), 3, exclude_self=True))
+    assert got == brute(r, r, 3, minkowski(2), True)
+    pairs = sum(
+        p.groupBy("node").count().withColumnRenamed("count", "a").join(v.groupBy("node").count(), "node").agg(F.sum(F.col("a") * F.col("count"))).first()[0] or 0
+        for p, v in searched
+    )
+    assert pairs < 0.6 * 1600 * 1600
+
+
 def test_fewer_references_than_k(spark):
     r = vectors(4, 2, 5)
     got = ids(nb.knn_join(frame(spark, r), frame(spark, r), 9, exclude_self=True))
