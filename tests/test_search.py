@@ -1,6 +1,7 @@
 """Scores of shared searches against members that are fitted one by one, and the claim of a run."""
 
 import threading
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demur.operators import learners, search, trees
 from demur.operators.bayes import GaussianNB
+from demur.operators.learners import draw_params
 from demur.operators.metrics import average_mode, metrics_from_confusion, positive_label
 from demur.operators.prep import Scaler
 from demur.operators.split import fold_assign
@@ -119,3 +121,35 @@ def test_a_failed_fit_gives_its_claim_back(spark, tmp_path):
     with pytest.raises(RuntimeError, match="no fit"):
         study.load_or_fit(registry, "e", "NB", broken, df, df)
     assert not study.load_or_fit(registry, "e", "NB", lambda: (GaussianNB(FEATURES), {}), df, df)[1]
+
+
+SELECTOR_SPACE = {"k": (3, 25, "log_int"), "kp": (3, 25, "log_int"), "trees": (10, 500, "log_int"), "depth": (5, 30, "log_int"), "min_leaf": (1, 30, "int")}
+
+
+def test_selector_draws_share_the_executors(spark, monkeypatch):
+    """Two draws are fitted at the same time; the scores stay in the order of the draws."""
+    meet = threading.Barrier(2, timeout=60)
+
+    class Meeting:
+        def __init__(self, labels, k, kp, meta=None):
+            self.k = k
+
+        def described(self, queries):
+            return queries
+
+        def fit(self, refs, described):
+            meet.wait()
+            return self
+
+        def predict(self, queries, described):
+            return queries.select("y", F.when(F.col("row_id") % self.k == 0, F.col("y")).otherwise(1 - F.col("y")).alias("pred"))
+
+    monkeypatch.setattr(study, "CompetenceSelector", Meeting)
+    rows = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("y"), F.array(F.lit(0.0)).alias("vec"), F.array(F.array(F.lit(0.5))).alias("probas"))
+    best, ranked = study.des_search(SimpleNamespace(labels=[0, 1]), rows, rows, trials=2, seed=1)
+    assert [d for d, _ in ranked] == draw_params(SELECTOR_SPACE, 2, 1)
+    for d, score in ranked:
+        right = [i % d["k"] == 0 for i in range(40)]
+        f1 = [2 * sum(r for r, i in zip(right, range(40)) if i % 2 == c) / (20 + sum((i % 2 == c) == r for r, i in zip(right, range(40)))) for c in (0, 1)]
+        assert abs(score - sum(f1) / 2) < 1e-9
+    assert best in [d for d, _ in ranked]
