@@ -190,6 +190,25 @@ def test_blocks_meet_in_little_memory(p):
         assert ref[at == i].tolist() == want.tolist() and np.allclose(dist[at == i], d[want], atol=2e-9)
 
 
+@pytest.mark.parametrize("p", [2, 3])
+def test_near_ties_meet_in_little_memory(p):
+    """Distances that differ by less than their error, as those of sure output profiles: every pair is a candidate."""
+    rng = np.random.default_rng(8)
+    r = np.eye(10)[np.zeros((6000, 2), int)].reshape(6000, 20) + rng.uniform(0, 1e-7, (6000, 20))
+    q, counts = r[:512], np.where(np.arange(6000) % 7 == 0, 2, 1)
+    flat = np.arange(counts.sum())
+    tracemalloc.start()
+    at, ref, dist = nb._best(q, r, counts, flat, 5, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    owner = np.repeat(np.arange(6000), counts)
+    for i in (0, 1, 511):
+        d = np.round((np.abs(r - q[i]) ** p).sum(axis=1) ** (1 / p), 9)[owner]
+        want = np.lexsort((flat, d))[:5]
+        assert ref[at == i].tolist() == want.tolist() and np.allclose(dist[at == i], d[want], atol=2e-9)
+
+
 def test_reach_cuts_what_a_query_needs():
     r = np.random.default_rng(7).normal(size=(500, 3))
     one = np.ones(500, np.int64)
