@@ -279,3 +279,32 @@ def test_kendall_tree_stands_over_the_smaller_column(spark, monkeypatch):
     for i, j in ((0, 1), (0, 2), (1, 2)):
         want = (s[..., i] * s[..., j]).sum() / np.sqrt((s[..., i] ** 2).sum() * (s[..., j] ** 2).sum())
         assert abs(out["abc"[i], "abc"[j]] - want) < 1e-9
+
+
+def test_kendall_by_ranges_of_hot_and_single_values(spark, monkeypatch):
+    """Few cuts and few held keys, so that pairs fall into the counts by codes and into ranges of either column."""
+    monkeypatch.setattr(profile, "FEW_VALUES", 5)
+    monkeypatch.setattr(profile, "LEAST_CUTS", 4)
+    monkeypatch.setattr(profile, "HELD_KEYS", 100)
+    rng = np.random.default_rng(4)
+    n = 400
+    a, b = np.round(rng.normal(size=n), 1), np.where(rng.random(n) < 0.4, -0.0, np.round(rng.normal(size=n), 2))
+    c, d = np.where(rng.random(n) < 0.3, a, rng.integers(0, 40, n)), rng.integers(0, 3, n).astype(float)
+    b[::50] = 0.0
+    v = np.stack([a, b, c, d], axis=1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in v], "a double, b double, c double, d double").repartition(3)
+    plans, made = [], profile.settle
+    monkeypatch.setattr(profile, "settle", lambda t, name="table": plans.append(made(t, name)) or plans[-1])
+    out = {(r["col_a"], r["col_b"]): r for r in profile.kendall_matrix(df, list("abcd")).collect()}
+    # the rows shrink to counts by two codes, however many values there are
+    assert plans[0].groupBy("p").count().agg(F.max("count")).first()[0] <= 81
+    s = np.sign(v[:, None, :] - v[None, :, :])
+    for i, j in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)):
+        want = (s[..., i] * s[..., j]).sum() / np.sqrt((s[..., i] ** 2).sum() * (s[..., j] ** 2).sum())
+        assert out["abcd"[i], "abcd"[j]]["n"] == n and abs(out["abcd"[i], "abcd"[j]]["tau_b"] - want) < 1e-12
+
+
+def test_kendall_of_one_value_and_of_nothing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 1.0)], "a double, b double")
+    assert [tuple(r) for r in profile.kendall_matrix(df, ["a", "b"]).collect()] == [("a", "b", 2, None)]
+    assert profile.kendall_matrix(df.where("b > 9"), ["a", "b"]).collect() == []
